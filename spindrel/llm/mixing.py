@@ -42,9 +42,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return df.withColumn("target", target).select("source", "source_size", "target")
 
 
-def offset(source: Column, seed: int = 7) -> Column:
-    """The source's one random offset, a multiple of 2**-16 below 1."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))), 1, 4), 16, 10).cast("double") / 65536
+#: Offsets drawn for a source, of which it gets the one whose words come nearest to its target.
+DRAWS = 16
+
+
+def offset(source: Column, seed: int, draw: int) -> Column:
+    """A random offset for the source, a multiple of 2**-16 below 1."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{draw}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))), 1, 4), 16, 10).cast("double") / 65536
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +67,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
     Every document of a source has the same expected copies, target / source_size. Documents of a source are put in order
     of size (ties by a hash of the id), so that one systematic pass takes every size in proportion and the words taken
-    come within about one longest document of the target. The running sums are taken over range partitions of (source,
+    come within about one longest document of the target. A source has one random offset for all its documents: of DRAWS
+    drawn ones, that whose words come nearest to its target. The running sums are taken over range partitions of (source,
     size, hash), first within each, then across them by their counts; a source with most rows spreads over many tasks.
 
     Null text counts as empty (size 0); a null source is a source of its own; rows that are equal in every way count one
@@ -79,10 +84,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("u", offset(F.col("source"), seed))
-    c, t = counts.select("source", "part", "before").alias("c"), targets.alias("t")
-    places = c.join(t, F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "part", "before", "source_size", "target", "rate", "u").alias("p")
-    joined = ranked.alias("d").join(places, (F.col("d.part") == F.col("p.part")) & F.col("d.source").eqNullSafe(F.col("p.source")))
-    i = F.col("before") + F.col("rank")
-    copies = (F.floor(i * F.col("rate") + F.col("u")) - F.floor((i - 1) * F.col("rate") + F.col("u"))).cast("long")
-    return joined.select("doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    places = counts.alias("a").join(targets.alias("b"), same).select("a.source", "part", "before", "source_size", "target", "rate").alias("b")
+    placed = ranked.alias("a").join(places, (F.col("a.part") == F.col("b.part")) & same)
+    placed = placed.select("doc_id", "a.source", "size", "source_size", "target", "rate", (F.col("before") + F.col("rank")).alias("i"))
+
+    def copies(u: Column) -> Column:
+        return (F.floor(F.col("i") * F.col("rate") + u) - F.floor((F.col("i") - 1) * F.col("rate") + u)).cast("long")
+
+    u = [offset(F.col("source"), seed, k) for k in range(DRAWS)]
+    taken = placed.groupBy("source", "target").agg(*(F.sum(copies(u[k]) * F.col("size")).alias(f"t{k}") for k in range(DRAWS)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("target")), F.lit(k), u[k].alias("u")) for k in range(DRAWS))))
+    chosen = taken.select("source", nearest["u"].alias("u")).alias("b")
+    out = placed.alias("a").join(chosen, same).withColumn("copies", copies(F.col("u")))
+    return out.select("doc_id", "a.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -13,12 +13,19 @@ l AS (
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS lev FROM w),
 v AS (SELECT *, max(CASE WHEN lev <= ratio THEN lev END) OVER () AS level FROM l),
 t AS (
-  SELECT source, source_size, CASE WHEN level IS NULL OR ratio <= level THEN lim::DOUBLE ELSE weight * level END AS target,
-    CAST('0x' || substr(md5(concat('7:', coalesce('s' || source, 'n'))), 1, 4) AS BIGINT) / 65536.0::DOUBLE AS u FROM v),
-n AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, k) AS i FROM d)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size > 0 THEN (floor(i * (target / source_size) + u) - floor((i - 1) * (target / source_size) + u))::BIGINT * size ELSE 0 END AS taken
-FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+  SELECT source, source_size, CASE WHEN level IS NULL OR ratio <= level THEN lim::DOUBLE ELSE weight * level END AS target FROM v),
+n AS (
+  SELECT doc_id, d.source AS source, size, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, k) AS i,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (
+  SELECT source, draw, CAST('0x' || substr(md5(concat('7:', draw, ':', coalesce('s' || source, 'n'))), 1, 4) AS BIGINT) / 65536.0::DOUBLE AS u
+  FROM t CROSS JOIN (SELECT unnest(range(16)) AS draw)),
+c AS (
+  SELECT n.source AS source, draw, u, row_number() OVER (
+    PARTITION BY n.source ORDER BY abs(sum((floor(i * rate + u) - floor((i - 1) * rate + u))::BIGINT * size) - target), draw) AS place
+  FROM n JOIN u ON n.source IS NOT DISTINCT FROM u.source GROUP BY n.source, target, draw, u)
+SELECT doc_id, size, source_size, target, (floor(i * rate + u) - floor((i - 1) * rate + u))::BIGINT * size AS taken
+FROM n JOIN c ON n.source IS NOT DISTINCT FROM c.source AND place = 1
 """
 
 
