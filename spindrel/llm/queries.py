@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, tokenbin, toxicity
+from . import imatch, mixing, packing, quality, tokenbin, toxicity, urls
 from .common import table
 from .tokens import public_vocabulary
 
@@ -27,9 +27,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary(), capacity=2048, end_id=1)
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(table(spark, sf_dir, "documents"), public_vocabulary(), end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_quality, op5_packing, op10_token_binary)}
+    return {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_quality, op5_packing, op8_url_filters, op9_imatch, op10_token_binary)}
