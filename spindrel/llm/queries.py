@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, mixing, packing, quality, tokenbin, toxicity, urls
+from . import imatch, mixing, neighbours, packing, quality, tokenbin, toxicity, urls
 from .common import table
 from .tokens import public_vocabulary
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,4 +44,4 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_quality, op5_packing, op8_url_filters, op9_imatch, op10_token_binary)}
+    return {f.__name__: f for f in (op1_toxicity, op2_learned_partitions, op3_mixing, op4_quality, op5_packing, op8_url_filters, op9_imatch, op10_token_binary)}
