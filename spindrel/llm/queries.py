@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import imatch, mixing, neighbours, packing, quality, tokenbin, toxicity, urls
-from .common import table
+from . import imatch, mixing, neighbours, packing, quality, sharding, tokenbin, toxicity, urls
+from .common import scratch, table
 from .tokens import public_vocabulary
 
 
@@ -31,6 +32,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary(), capacity=2048, end_id=1)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the compacted store gives back, with digests of the texts."""
+    docs = sharding.compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+    return docs.select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -44,4 +51,4 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_learned_partitions, op3_mixing, op4_quality, op5_packing, op8_url_filters, op9_imatch, op10_token_binary)}
+    return {f.__name__: f for f in (op1_toxicity, op2_learned_partitions, op3_mixing, op4_quality, op5_packing, op7_sharding, op8_url_filters, op9_imatch, op10_token_binary)}

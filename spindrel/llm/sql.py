@@ -29,5 +29,8 @@ FROM n JOIN c ON n.source IS NOT DISTINCT FROM c.source AND place = 1
 """
 
 
+OP7 = "SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3}
+    return {"op3_mixing": OP3, "op7_sharding": OP7}
