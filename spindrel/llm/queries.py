@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, mixing, neighbours, packing, quality, sharding, tokenbin, toxicity, urls
+from . import imatch, jaccard, mixing, neighbours, packing, quality, sharding, tokenbin, toxicity, urls
 from .common import scratch, table
 from .tokens import public_vocabulary
 
@@ -32,6 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary(), capacity=2048, end_id=1)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the compacted store gives back, with digests of the texts."""
     docs = sharding.compacted(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
@@ -51,4 +55,4 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_learned_partitions, op3_mixing, op4_quality, op5_packing, op7_sharding, op8_url_filters, op9_imatch, op10_token_binary)}
+    return {f.__name__: f for f in (op1_toxicity, op2_learned_partitions, op3_mixing, op4_quality, op5_packing, op6_ngram_jaccard, op7_sharding, op8_url_filters, op9_imatch, op10_token_binary)}
