@@ -1,8 +1,80 @@
-"""A training corpus from raw documents, in stages that each call one operator of spindrel.llm."""
+"""A training corpus from raw documents: quality, toxicity, near duplicates, mixing, packing, each by one operator of spindrel.llm.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns what it makes of docs, which is written as Parquet and read again for the
+next. All stages but the last return the columns of documents. No stage is expressed in SQL; the tests hold each against a
+plain version of it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrel.llm import jaccard, mixing, packing, quality, toxicity
+from spindrel.llm.common import staged, table, tuned
+from spindrel.llm.tokens import public_vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality isn't rejected; the classifier learns from labels of documents that are in docs."""
+    docs = docs.select(*COLUMNS)
+    tuned(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("score") >= quality.GOOD).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't score as toxic."""
+    docs = docs.select(*COLUMNS)
+    tuned(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id; documents without
+    words stay. Of rows with one doc_id one stays."""
+    docs = docs.select(*COLUMNS)
+    tuned(spark)
+    groups = jaccard.near_duplicates(docs, k=5, num=4, den=5)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    return found.dropDuplicates(["doc_id"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    docs = docs.select(*COLUMNS)
+    tuned(spark)
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    found = docs.dropDuplicates(["doc_id"]).alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(f"d.{c}" for c in COLUMNS))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces that fill windows of 2048 tokens."""
+    tuned(spark)
+    return packing.pack(docs, public_vocabulary(), capacity=2048, end_id=1)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_good),
+    ("toxicity", drop_toxic),
+    ("near duplicates", one_of_each),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
