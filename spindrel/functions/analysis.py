@@ -51,9 +51,17 @@ def _stem(word: str) -> str:
     return stem(word) or word
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType())])))
-def _stemmed(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [{"term": _stem(t["term"]), "pos": t["pos"]} for t in ts])
+_TOKENS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType())]))
+
+
+def _stemmed(synonyms: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """Stems of a document's tokens, after their synonyms; each worker remembers the stems it has seen."""
+
+    @F.pandas_udf(_TOKENS)
+    def run(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ts: [{"term": _stem(w), "pos": t["pos"]} for t in ts for w in (t["term"], *synonyms.get(t["term"], ()))])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -118,11 +126,11 @@ class Analyzer:
             found = change((lambda x: F.translate(low(x), *folding_table())) if self.folding else low)
         if self.stop:
             found = F.filter(found, lambda t: ~t["term"].isin(*STOPWORDS))
-        if self.synonyms:
+        if self.stems:
+            found = _stemmed(self.synonyms)(found)
+        elif self.synonyms:
             table = F.create_map(*(x for w, others in self.synonyms.items() for x in (F.lit(w), F.array(F.lit(w), *map(F.lit, others)))))
             found = F.flatten(F.transform(found, lambda t: F.transform(F.coalesce(table[t["term"]], F.array(t["term"])), lambda w: F.struct(w.alias("term"), t["pos"].alias("pos")))))
-        if self.stems:
-            found = _stemmed(found)
         if self.beginnings:
             lo, hi = self.beginnings
             some = F.filter(found, lambda t: F.length(t["term"]) >= lo)  # sequence() would count down for shorter ones
