@@ -21,15 +21,16 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-# Words that mark hosts and paths to be left out; they stand for the blocked class's training texts.
+# Words that mark hosts and paths to be left out. URLs with one of them train the blocked class.
 UNWANTED = (
     "ad ads adult adults advert bet bets betting bonus casino cheap click coupon crypto dating deal deals escort farm free gamble "
     "gambling jackpot loan loans lottery nude payday pill pills poker popup porn promo sex sexy slots spam track tracker tracking "
     "viagra win winner xxx"
 ).split()
 
-#: Unigrams kept, the longest word tried, and how often each unwanted word counts in training.
-VOCABULARY, LONGEST, WEIGHT = 50_000, 20, 50
+#: Unigrams kept, the longest word tried, how often each unwanted word counts as a unigram and as a blocked token beyond
+#: what is found, and how many tokens the background counts for in either class.
+VOCABULARY, LONGEST, WEIGHT, EXTRA, BACKGROUND = 50_000, 20, 50, 5, 1000.0
 #: The share of URLs taken to be unwanted before looking at them.
 PRIOR = 0.05
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,7 +64,7 @@ class Rules:
         labels = host.split(".") if host else []
         for k in range(len(labels)):
             for start, rule, verdict in self.by_host.get(".".join(labels[k:]), ()):
-                if (path or "/").startswith(start) and (best is None or len(rule) > len(best[0])):
+                if path.startswith(start) and (best is None or len(rule) > len(best[0])):
                     best = rule, verdict
         return best
 
@@ -127,35 +128,47 @@ def unigrams(pages: DataFrame) -> Words:
 
 @dataclass
 class Bayes:
-    """Multinomial naive Bayes with two classes; blocked counts come from the fixed words, allowed ones from all URLs."""
+    """Multinomial naive Bayes with two classes. Token frequencies of both are smoothed towards those of all URLs, so that a
+    token that one class has hardly seen says little."""
 
     allowed: dict[str, int]
     blocked: dict[str, int]
+    extra: dict[str, int]
     prior: float = PRIOR
 
     def __post_init__(self):
-        self.size = len(self.allowed.keys() | self.blocked.keys()) + 1
-        self.n = [sum(x.values()) + self.size for x in (self.allowed, self.blocked)]
+        found = [sum(self.allowed.values()), sum(self.blocked.values())]
+        self.n = [found[0], found[1] + sum(self.extra.values())]
+        self.all = sum(found) + len(self.allowed.keys() | self.blocked.keys()) + 1
 
     def score(self, tokens: list[str]) -> float:
         """The probability of the blocked class."""
         z = math.log(self.prior / (1 - self.prior))
         for t in tokens:
-            z += math.log((self.blocked.get(t, 0) + 1) / self.n[1]) - math.log((self.allowed.get(t, 0) + 1) / self.n[0])
+            a, b = self.allowed.get(t, 0), self.blocked.get(t, 0)
+            common = BACKGROUND * (a + b + 1) / self.all
+            b += self.extra.get(t, 0)
+            z += math.log((b + common) / (self.n[1] + BACKGROUND)) - math.log((a + common) / (self.n[0] + BACKGROUND))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 def fit(pages: DataFrame, words: Words) -> Bayes:
-    """Token counts of all URLs, for the VOCABULARY most frequent tokens, against those of the unwanted words."""
+    """Token counts of the URLs with an unwanted word and of all others, for the VOCABULARY most frequent tokens."""
+    unwanted = frozenset(UNWANTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = Counter(t for url in b.column("url").to_pylist() for t in words.tokens(*split_url(url)))
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-    rows = pages.select("url").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return Bayes({r["word"]: r["n"] for r in rows}, {t: WEIGHT for w in UNWANTED for t in (w, f"/{w}")})
+            n = (Counter(), Counter())
+            for url in b.column("url").to_pylist():
+                tokens = words.tokens(*split_url(url))
+                n[any(t.lstrip("/") in unwanted for t in tokens)].update(tokens)
+            if names := list(n[0].keys() | n[1].keys()):
+                yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([c[t] for t in names], pa.int64()) for c in n)], ["word", "allowed", "blocked"])
+
+    found = pages.select("url").mapInArrow(run, "word string, allowed long, blocked long").groupBy("word").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+    rows = found.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(VOCABULARY).collect()
+    extra = {t: EXTRA for w in UNWANTED for t in (w, f"/{w}")}
+    return Bayes({r["word"]: r["a"] for r in rows if r["a"]}, {r["word"]: r["b"] for r in rows if r["b"]}, extra)
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
