@@ -110,14 +110,14 @@ def _title_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n: Counter = Counter()
         for url, title in zip(b.column("url").to_pylist(), b.column("title").to_pylist(), strict=True):
-            host, path = split_url(url)
-            n.update(w for text in (host, path, title or "") for w in _LETTERS.findall(text.lower()) if len(w) <= LONGEST)
+            n.update(w for text in (split_url(url)[1], title or "") for w in _LETTERS.findall(text.lower()) if len(w) <= LONGEST)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
 
 def unigrams(pages: DataFrame) -> Words:
-    """The VOCABULARY most frequent words of all pages' URLs and titles, besides the unwanted ones."""
+    """The VOCABULARY most frequent words of all pages' paths and titles, besides the unwanted ones. Hosts don't count: their
+    names are what is to be split."""
     found = pages.select("url", F.regexp_extract("html", _TITLE, 1).alias("title")).mapInArrow(_title_words, "word string, n long")
     rows = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     counts = {r["word"]: r["n"] for r in rows}
