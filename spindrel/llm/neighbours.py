@@ -45,7 +45,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for a in range(0, len(x), 512):
         d = norm[None, :] - 2 * (x[a : a + 512] @ x.T)
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out.append(np.argpartition(d, k, axis=1)[:, :k])
+        out.append(np.argpartition(d, k, axis=1)[:, :k].copy())  # a view would keep the whole block
     return np.concatenate(out)
 
 
@@ -67,7 +67,8 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int
     """A part for each row, so that few edges of the neighbour graph are cut and no part exceeds the mean by IMBALANCE.
 
     It starts from balanced cuts of the vectors; then, round after round, rows in random order move to the part that most of
-    their neighbours (in either direction) are in, if there is room, until few rows move.
+    their neighbours (in either direction) are in, if there is room. Where that part is full, a row changes places with one
+    that wants the opposite way. It ends when few rows move.
     """
     label = np.zeros(len(x), np.int64)
     _split(x, np.arange(len(x)), parts, 0, label)
@@ -78,11 +79,18 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int
             near[j].append(i)
     rng = np.random.default_rng(5)
     for _ in range(rounds):
-        moved = 0
+        moved, waiting = 0, {}
         for i in rng.permutation(len(x)):
             votes = np.bincount(label[near[i]], minlength=parts)
-            best, own = int(np.argmax(np.where(size < most, votes, -1))), label[i]
-            if votes[best] > votes[own]:
+            own = label[i]
+            if size[to := int(np.argmax(votes))] >= most and votes[to] > votes[own]:
+                if others := waiting.get((to, own)):
+                    label[i], label[others.pop()] = to, own
+                    moved += 2
+                    continue
+                waiting.setdefault((own, to), []).append(i)
+            best = int(np.argmax(np.where(size < most, votes, -1)))
+            if votes[best] > votes[own] and best != own and not (waiting.get((own, to)) or [None])[-1] == i:
                 size[own] -= 1
                 size[best] += 1
                 label[i] = best
