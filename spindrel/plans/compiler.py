@@ -70,7 +70,12 @@ class Statistics:
 class Compiler:
     def __init__(self, index: Index, by_shard: bool = False):
         self.index, self.mapping = index, index.mapping
-        rows = index.stats.collect()  # a row for each field and shard
+        if (by_shard, "statistics") not in index.memo:
+            index.memo[by_shard, "statistics"] = self._statistics(by_shard)
+        self.stats: Statistics = index.memo[by_shard, "statistics"]
+
+    def _statistics(self, by_shard: bool) -> Statistics:
+        rows = self.index.stats.collect()  # a row for each field and shard
         docs, sums = Counter(), {}
         for r in rows:
             s = r["shard_id"] if by_shard else None
@@ -79,7 +84,7 @@ class Compiler:
             else:
                 n, total = sums.get((r["field"], s), (0, 0))
                 sums[r["field"], s] = n + r["doc_count"], total + r["sum_len"]
-        self.stats = Statistics(by_shard, docs, {k: total / n for k, (n, total) in sums.items() if n})
+        return Statistics(by_shard, docs, {k: total / n for k, (n, total) in sums.items() if n})
 
     def compile(self, query: Query) -> DataFrame:
         """(doc_id, score) of the matches."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +34,8 @@ class Index:
     terms: DataFrame
     stats: DataFrame
     docs: DataFrame
+    #: Statistics that queries have looked up; an index never changes.
+    memo: dict = field(default_factory=dict, repr=False)
 
     @property
     def spark(self) -> SparkSession:
