@@ -75,14 +75,16 @@ def lexicon(docs: DataFrame) -> np.ndarray:
     return np.sort(rows.column("term").to_numpy().view(np.uint64))
 
 
-#: The densest subsets leave out 0 to 15 thirty-seconds of the lexicon.
-_LIMITS = np.array([min(int((d if d < 1 else 1 - k / 32) * 2**64), 2**64 - 1) for d in DENSITIES for k in range(EACH)], np.uint64)
-_SALTS = mix64(np.arange(len(_LIMITS), dtype=np.uint64), 5)
+#: For each series of subsets (rows) and density (columns), up to which hash a term belongs to the subset. A series' thin
+#: subsets are parts of its dense ones; the densest leave out 0 to 15 thirty-seconds of the lexicon.
+_LIMITS = np.array([[min(int((d if d < 1 else 1 - k / 32) * 2**64), 2**64 - 1) for d in DENSITIES] for k in range(EACH)], np.uint64)
+_SALTS = mix64(np.arange(EACH, dtype=np.uint64), 5)
 
 
 def fingerprint(text: str | None, words: np.ndarray) -> str:
-    """Four hex digits for each lexicon subset: a hash of the sorted terms of the text that it holds, or 0000 if none.
+    """Four hex digits for each lexicon subset, by density: a hash of the terms of the text that it holds, or 0000 if none.
 
+    The distinct terms are sorted, and the hash of some is the sum of their hashes, mixed; equal sets alone give equal sums.
     A text with no term in the lexicon stands for all its terms, so short and odd texts have fingerprints of their own.
     """
     terms = _terms.of(text)
@@ -90,13 +92,15 @@ def fingerprint(text: str | None, words: np.ndarray) -> str:
         at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
         kept = terms[words[at] == terms]
         terms = kept if len(kept) else terms
-    out = []
-    step = max(1, (1 << 20) // max(1, len(terms)))  # a very long text takes a few subsets at once
-    for first in range(0, len(_LIMITS), step):
-        held = mix64(terms[None, :] ^ _SALTS[first : first + step, None]) <= _LIMITS[first : first + step, None]
-        some = [terms[row] for row in held]
-        out += [f"{xxhash.xxh3_64_intdigest(t.tobytes()) % 65535 + 1:04x}" if len(t) else "0000" for t in some]
-    return "".join(out)
+    own = mix64(terms, 9)
+    sums, counts = np.zeros((EACH, len(DENSITIES)), np.uint64), np.zeros((EACH, len(DENSITIES)), np.int64)
+    step = max(1, (1 << 18) // max(1, len(terms)))  # a very long text takes a few series at once
+    for first in range(0, EACH, step):
+        held = mix64(terms[None, :] ^ _SALTS[first : first + step, None])[:, None, :] <= _LIMITS[first : first + step, :, None]
+        sums[first : first + step] = np.where(held, own, np.uint64(0)).sum(axis=2, dtype=np.uint64)
+        counts[first : first + step] = held.sum(axis=2)
+    codes = np.where(counts > 0, mix64(sums) % np.uint64(65535) + np.uint64(1), np.uint64(0))
+    return codes.T.astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
