@@ -8,7 +8,11 @@ is lengthened by l - 1 tokens, l being chosen by what its candidates are estimat
 
 Large groups of near copies would make a pair of every two. They are resolved by pivots instead: in each group that shares a
 prefix token, all are compared with one of them only, and what turns out connected needs no further comparison among
-itself. Only what stays unconnected in a group is compared pair by pair.
+itself. Only sets that share prefix tokens and aren't connected yet are compared pair by pair, those that share enough.
+
+Before a comparison, the pair's sketches are held together: the parities of the tokens' hashes in a fixed number of bits.
+They differ in at most as many bits as the sets differ in tokens, so a pair whose sketches differ more has no link. What
+few pairs are left have their whole sets fetched.
 """
 
 from __future__ import annotations
@@ -28,10 +32,13 @@ from .components import components
 FREQUENT, LARGE_CLASSES = 1 << 17, 1 << 13
 #: A prefix is lengthened to as many matches at most; what a comparison costs, in prefix tokens.
 MOST_MATCHES, COMPARISON = 4, 4.0
-#: Rounds of comparisons with pivots before pairs of what is left.
-PIVOT_ROUNDS = 3
-#: Bits of the filter that tells which sets are needed for comparisons.
-FILTER_BITS = 25
+#: Bits of a sketch.
+SKETCH_BITS = 1024
+#: Unconnected pairs within groups of more than LARGE_GROUP are looked at once they are at most PAIRS_A_ROW times the prefix
+#: rows (few of them pass the tests on sizes and places); until then there is another round with pivots.
+LARGE_GROUP, PAIRS_A_ROW = 64, 64
+#: Bits of the filter that tells which documents' sets are needed for comparisons (a prime, so that ids spread).
+FILTER_BITS = 33_554_393
 _MEMORY = 400_000
 
 
@@ -67,9 +74,14 @@ def signature(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    at = mix64(tokens, 77) % np.uint64(SKETCH_BITS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _sets_and_counts(k: int):
-    """Per document a row (doc_id, n, sig); besides, per task, tokens that several of its different sets have (token, seen)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
+    """Per document a row (doc_id, n, sig, sketch); besides, per task, tokens that several of its different sets have (token, seen)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("sketch", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -81,21 +93,22 @@ def _sets_and_counts(k: int):
             known.clear()
             held.clear()
             none = pa.nulls(len(tokens))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], schema=schema)
 
         for b in batches:
-            ids, ns, sigs = b.column("doc_id"), [], []
+            ids, ns, sigs, sketches = b.column("doc_id"), [], [], []
             for text in b.column("text").to_pylist():
                 tokens = shingles(text, k)
                 sig = signature(tokens)
                 ns.append(len(tokens))
                 sigs.append(sig)
+                sketches.append(sketch(tokens))
                 if sig not in known:
                     known.add(sig)
                     held.append(tokens)
                     size += len(tokens)
             none = pa.nulls(b.num_rows).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=schema)
             if size >= 6_000_000:
                 yield counted()
                 size = 0
@@ -245,41 +258,49 @@ class Join:
         ordered = prefixes.repartition("key").sortWithinPartitions("key", "rank", "n", "sig", "pos")
         return ordered.mapInArrow(run, "key long, sig binary, n int, l int, pos int, psig binary, pn int, pl int, ppos int")
 
-    def sets(self, needed: DataFrame, order: Order, large: dict[bytes, int]) -> DataFrame:
-        """(sig, keys) of the sets in needed (sig), perhaps with some others; texts aren't shuffled for it.
+    def sets(self, needed: DataFrame, order: Order) -> DataFrame:
+        """(sig, keys) of the documents in needed (id, sig), perhaps with some others; texts aren't shuffled for it.
 
-        needed becomes a filter of fixed size, a bit for each of its signatures' hashes; a pass over the texts gives out the
-        sets that it lets through.
+        needed becomes a filter of fixed size, a bit for a remainder of the ids; a pass over the texts makes the sets of the
+        documents that it lets through.
         """
-        bit = F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long") % (1 << FILTER_BITS) + 1  # Spark counts them from 1
+        bit = F.pmod("id", F.lit(FILTER_BITS)) + 1  # Spark counts bits from 1
         bits = needed.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-        mask = np.zeros((1 << FILTER_BITS) // 8 + (1 << 13), np.uint8)
+        mask = np.zeros(FILTER_BITS // 8 + (1 << 13), np.uint8)
         for r in bits.collect():  # a fixed number of rows of 4 KB
             at = (r["bucket"] - 1) * 4096
             mask[at : at + 4096] |= np.frombuffer(r["bits"], np.uint8)
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: set[bytes] = set()
             for b in batches:
-                sigs, keys = [], []
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    tokens = shingles(text, k)
-                    sig = signature(tokens)
-                    at = int.from_bytes(sig[:4], "big") % (1 << FILTER_BITS)
-                    if not mask[at >> 3] >> (at & 7) & 1 or not len(tokens) or sig in known or large.get(sig, doc_id) != doc_id:
-                        continue
-                    if len(known) >= 1 << 18:
-                        known.clear()
-                    known.add(sig)
-                    sigs.append(sig)
-                    keys.append(order.keys(tokens).tobytes())
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], ["sig", "keys"])
+                at = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
+                some = b.filter(pa.array((mask[at >> 3] >> (at & 7) & 1).astype(bool)))
+                found = [shingles(t, k) for t in some.column("text").to_pylist()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([signature(t) for t in found], pa.binary()), pa.array([order.keys(t).tobytes() for t in found], pa.binary())], ["sig", "keys"])
 
-        found = self.docs.mapInArrow(run, "sig binary, keys binary")
+        found = self.docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "sig binary, keys binary")
         return found.groupBy("sig").agg(F.first("keys").alias("keys"))
 
+    def near(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs (a, b, l) whose sketches leave room for a link; known: (sig, n, sketch)."""
+        num, den = self.num, self.den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+                    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                    sizes = b.column("nx").to_numpy().astype(np.int64) + b.column("ny").to_numpy()
+                    common = -(-num * sizes // (num + den))
+                    t = pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "l")], ["a", "b", "l"])
+                    yield t.filter(pa.array(apart <= sizes - 2 * common))
+
+        one = known.select(F.col("sig").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
+        two = known.select(F.col("sig").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
+        return pairs.join(two, "b").join(one, "a").select("a", "b", "l", "nx", "ny", "x", "y").mapInArrow(run, "a binary, b binary, l int")
+
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of pairs (a, b, l): those that share l prefix tokens and then have the similarity, as (u, v): their classes' ids."""
         num, den = self.num, self.den
@@ -304,40 +325,55 @@ class Join:
 
     def run(self) -> DataFrame:
         """Per document: doc_id, n_shingles, component_id."""
-        both = staged(self.docs.mapInArrow(_sets_and_counts(self.k), "doc_id long, n int, sig binary, token long, seen long"), "sets")
+        both = staged(self.docs.mapInArrow(_sets_and_counts(self.k), "doc_id long, n int, sig binary, sketch binary, token long, seen long"), "sets")
         mine = both.where(F.col("sig").isNotNull()).select("doc_id", "n", "sig")
         classes = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
         top = both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
         order = Order(top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy())
         large = {bytes(r["sig"]): r["id"] for r in classes.where("copies > 4").orderBy(F.desc("copies"), "sig").limit(LARGE_CLASSES).collect()}
+        known = both.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        ids = classes.where("id is not null").select("sig", "id")
 
         rows = staged(self.shared(self.prefixes(order, large)), "prefixes")
-        needed = rows.select("sig").distinct()
-        found = self.sets(needed, order, large).join(classes.select("sig", "id"), "sig")
-        sets = staged(found, "wanted")
-
+        most = PAIRS_A_ROW * rows.count()
         links = done = roots = None
-        active = rows
-        for step in range(PIVOT_ROUNDS + 1):
-            if step:
-                placed = self._placed(active, sets, roots)
-                pivots = placed.groupBy("key").agg(F.min(F.struct("n", "sig", "l", "pos", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-                if step < PIVOT_ROUNDS:
-                    p = {f"p{c}": F.col(f"p.{c}") for c in ("n", "sig", "l", "pos", "root")}
-                    active = staged(placed.join(pivots.select("key", "p"), "key").withColumns(p).drop("p"), "active")
+        active, last, step = rows, False, 0
+        while True:
+            step += 1
+            if roots is not None:
+                placed = self._placed(active, ids, roots)
+                groups = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.sum(F.col("c") * F.col("c")).alias("same"))
+                split = groups.where("roots > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
+                split = staged(split, "split")
+                large_pairs = split.where(F.col("n") > LARGE_GROUP).agg(F.sum("pairs")).first()[0] or 0
+                last = large_pairs <= most
+                some = placed.join(split.select("key"), "key")
+                names = ("n", "sig", "l", "pos", "root")
+                if last:
+                    other = some.select("key", *(F.col(c).alias(f"p{c}") for c in names))
+                    active = some.join(other, "key").where(F.col("root") < F.col("proot"))
                 else:
-                    some = staged(placed.join(pivots.select("key"), "key", "left_semi"), "active")
-                    other = some.select("key", *(F.col(c).alias(f"p{c}") for c in ("n", "sig", "l", "pos", "root")))
-                    active = some.join(other, "key").where("root < proot")
-                if active.isEmpty():
-                    break
-            pairs = active.where((F.col("sig") != F.col("psig")) & self.fits() & (F.lit(True) if not step else F.col("root") != F.col("proot")))
-            pairs = pairs.select(F.col("sig").alias("a"), F.col("psig").alias("b"), F.least("l", "pl").alias("l")).distinct()
-            pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-            new = self.verified(pairs, sets)
-            links = staged(new if links is None else links.unionByName(new), "links")
-            done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+                    some = staged(some, "active")
+                    any_one = F.struct(F.xxhash64("sig", F.lit(step)).alias("h"), *names)  # most likely of the largest component
+                    pivots = some.groupBy("key").agg(F.min(any_one).alias("p")).select("key", *(F.col(f"p.{c}").alias(f"p{c}") for c in names))
+                    active = staged(some.join(pivots, "key"), "active")
+            pairs = active.where((F.col("sig") != F.col("psig")) & self.fits())
+            pairs = (pairs if roots is None else pairs.where("root <> proot")).select(F.col("sig").alias("a"), F.col("psig").alias("b"), F.least("l", "pl").alias("l"))
+            pairs = pairs.groupBy("a", "b", "l").agg(F.count("*").alias("shared"))
+            pairs = pairs.where(F.col("shared") >= F.col("l")) if last else pairs  # the last round has all that a pair shares
+            pairs = pairs.select("a", "b", "l")
+            found = staged(self.near(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), known), "pairs")
+            needed = staged(found.select(F.col("a").alias("sig")).unionByName(found.select(F.col("b").alias("sig"))).distinct().join(ids, "sig"), "needed")
+            if not needed.isEmpty():
+                sets = staged(self.sets(needed, order).join(needed, "sig"), "wanted")
+                new = self.verified(found, sets)
+                links = staged(new if links is None else links.unionByName(new), "links")
+                done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
+            if links is None and roots is None:
+                links = self.docs.limit(0).select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v"))
             roots = staged(components(links), "roots")
+            if last:
+                break
             active = active.where("sig <> psig")
         named = classes.join(roots, classes.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("component"))
         joined = mine.alias("d").join(named.alias("c"), (F.col("d.sig") == F.col("c.sig")) & (F.col("n") > 0), "left")
@@ -345,10 +381,10 @@ class Join:
         return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
     @staticmethod
-    def _placed(active: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    def _placed(active: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
         """The rows that are still to be compared, pivots of former rounds left out, with the root of each."""
-        ids = sets.join(roots, sets.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("root"))
-        return active.select("key", "sig", "n", "l", "pos").join(ids, "sig")
+        named = ids.join(roots, ids.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("root"))
+        return active.select("key", "sig", "n", "l", "pos").join(named, "sig")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -356,7 +392,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than k words is one shingle;
     one without words, or null, has none and is linked with nothing. Equal sets are one class from the start, so copies are
-    compared once; rows with one doc_id count as one document each; a null doc_id is never a component's id unless it is
-    alone; an empty table gives no row; other columns are ignored.
+    compared once; rows with one doc_id count as one document each; a text that only rows without id have is linked with
+    nothing but its copies, and its component is null; an empty table gives no row; other columns are ignored.
     """
     return Join(docs, k, num, den).run()
