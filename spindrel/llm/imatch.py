@@ -8,16 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64
 
-#: A term is in the lexicon if it is in at least LEAST_DOCS documents and at most MOST_SHARE of them; of more than LEXICON
-#: such terms, those in most documents. That bounds what each task is sent.
-LEAST_DOCS, MOST_SHARE, LEXICON = 3, 0.05, 1 << 16
+#: A term is in the lexicon if it is in at least LEAST_DOCS documents and at most MOST_SHARE of them.
+LEAST_DOCS, MOST_SHARE = 3, 0.05
 #: Lexicon subsets: EACH of every density 1, 1/4, 1/16, ... A text of few terms differs under the dense ones, a long one under the thin ones.
 DENSITIES, EACH = tuple(4.0**-k for k in range(7)), 16
 _TERM = re.compile(r"[^\W_]+")
@@ -67,11 +67,14 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def in_band(docs: DataFrame) -> Column:
+    """Whether `df` is that of a lexicon term of docs."""
+    return F.col("df").between(LEAST_DOCS, max(LEAST_DOCS, int(MOST_SHARE * docs.count())))
+
+
 def lexicon(docs: DataFrame) -> np.ndarray:
-    """The sorted hashes of the terms that fingerprints are made of; at most LEXICON of them reach the driver."""
-    most = max(LEAST_DOCS, int(MOST_SHARE * docs.count()))
-    band = document_frequencies(docs).where((F.col("df") >= LEAST_DOCS) & (F.col("df") <= most))
-    rows = band.orderBy(F.desc("df"), "term").limit(LEXICON).select("term").toArrow()
+    """The sorted hashes of all terms that fingerprints are made of, on the driver; compare_with_next() does without."""
+    rows = document_frequencies(docs).where(in_band(docs)).select("term").toArrow()
     return np.sort(rows.column("term").to_numpy().view(np.uint64))
 
 
@@ -155,8 +158,66 @@ def with_next(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "extra", "doc_id", "data"])
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "bucket int, extra int, doc_id long, data binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "extra", "doc_id", "data")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "bucket int, extra int, doc_id long, data binary")
+
+
+def in_order(bucket: pa.Table) -> Iterator[tuple[int, int | None, str]]:
+    """(extra, doc_id, text) of a bucket's documents as they follow each other; of those from the next bucket, one."""
+    codec, extras = zstandard.ZstdDecompressor(), 0
+    by = pc.sort_indices(bucket, sort_keys=[(c, "ascending") for c in ("extra", "doc_id", "data")], null_placement="at_start").to_pylist()
+    extra, ids, data = (bucket.column(c) for c in ("extra", "doc_id", "data"))
+    for i in by:
+        extras += extra[i].as_py()
+        if extras > 1:
+            return  # further rows of the id that came across
+        yield extra[i].as_py(), ids[i].as_py(), codec.decompress(data[i].as_py()).decode()
+
+
+def seams(text: str, following: str) -> list[bytes]:
+    """The chunks of edited() that may be in neither text: the one at the cut and the last one."""
+    half = len(text) // 2
+    left, right = text[: len(text) - half].encode(), following[:half].encode()
+    last = b"" if not left or left[-1:].isspace() else left.rsplit(None, 1)[-1]
+    words = [] if not right or right.isspace() else [right.split(None, 1)[0], right.rsplit(None, 1)[-1]]
+    return [last, *words] if right[:1].isspace() or not words else [last + words[0], words[1]]
+
+
+def kept_terms(sent: DataFrame, band: Column) -> DataFrame:
+    """(bucket, term): the lexicon terms that each bucket's documents and edited texts have.
+
+    A bucket gives each of its terms once, with its count, and gets back those in the band, so no task has the whole lexicon.
+    """
+    fields = pa.schema([("bucket", pa.int32()), ("term", pa.int64()), ("n", pa.int64())])
+
+    def run(bucket: pa.Table) -> pa.Table:
+        at, held, odd, n, out, last = bucket.column("bucket")[0].as_py(), [], [], 0, [], None
+
+        def summed() -> None:
+            terms, counts = np.unique(np.concatenate([np.zeros(0, "<u8"), *held]), return_counts=True)
+            more = np.setdiff1d(np.frombuffer(b"".join(odd), "<u8"), terms)
+            held.clear()
+            odd.clear()
+            terms, counts = np.concatenate([terms, more]), np.concatenate([counts, np.zeros(len(more), np.int64)])
+            out.append(pa.table([pa.array(np.full(len(terms), at, np.int32)), pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], schema=fields))
+
+        for extra, _, text in in_order(bucket):
+            if last is not None:
+                odd.extend(_terms[c] for c in seams(last, text))
+            last = text
+            own = _terms.of(text)
+            if extra:  # counted in its own bucket
+                odd.append(own.tobytes())
+            else:
+                held.append(own)
+            n += len(own)
+            if n >= 6_000_000:
+                summed()
+                n = 0
+        summed()
+        return pa.concat_tables(out)
+
+    found = sent.groupBy("bucket").applyInArrow(run, "bucket int, term long, n long")
+    return found.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).where(band).select("bucket", "term")
 
 
 _FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -169,24 +230,20 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     last, and a table of one row follows itself. Null text counts as empty; an empty text has the empty fingerprint (all
     zeros), which is like itself alone; an empty table gives no row; other columns are ignored.
     """
-    words = lexicon(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, before, rows = zstandard.ZstdDecompressor(), None, []
-        for b in batches:
-            for at, extra, doc_id, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "extra", "doc_id", "data")), strict=True):
-                if extra and (before is None or before[0] != at):
-                    continue  # a further row of the id that came across
-                text = codec.decompress(data).decode()
-                own = fingerprint(text, words)
-                if before is not None and before[0] == at:
-                    _, last_id, last, last_own = before
-                    changed = edited(last, text)
-                    other = fingerprint(changed, words)
-                    rows.append((last_id, len(last), hashlib.sha256(changed.encode()).hexdigest(), last_own, other, likeness(last_own, other), likeness(last_own, own)))
-                before = None if extra else (at, doc_id, text, own)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
-                rows = []
-
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    sent = with_next(docs)
+    terms = kept_terms(sent, in_band(docs))
+
+    def run(bucket: pa.Table, kept: pa.Table) -> pa.Table:
+        words, before, rows = np.unique(kept.column("term").to_numpy().view(np.uint64)), None, []
+        for extra, doc_id, text in in_order(bucket) if bucket.num_rows else ():
+            own = fingerprint(text, words)
+            if before is not None:
+                last_id, last, last_own = before
+                changed = edited(last, text)
+                other = fingerprint(changed, words)
+                rows.append((last_id, len(last), hashlib.sha256(changed.encode()).hexdigest(), last_own, other, likeness(last_own, other), likeness(last_own, own)))
+            before = None if extra else (doc_id, text, own)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS) if rows else _FIELDS.empty_table()
+
+    both = sent.groupBy("bucket").cogroup(terms.groupBy("bucket"))
+    return both.applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

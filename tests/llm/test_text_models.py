@@ -182,6 +182,23 @@ def test_next_document_and_edits(spark):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+def test_all_terms_of_the_band_take_part(spark):
+    rows = [(i, " ".join(f"k{1000 * (i // 3) + j}" for j in range(1000)) + f" d{i}") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = imatch.lexicon(docs)
+    assert len(words) == 70_000
+    got = {r["doc_id"]: r for r in imatch.compare_with_next(docs).collect()}
+    assert len(got) == 210 and all(got[i]["fingerprint"] == imatch.fingerprint(t, words) for i, t in rows[::15])
+
+
+def test_seams_are_the_new_chunks_of_an_edit():
+    rng = random.Random(8)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ab \té") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        old = {*a.encode().split(), *b.encode().split()}
+        assert {*imatch.edited(a, b).encode().split()} - old <= {*imatch.seams(a, b)}
+
+
 def test_document_frequencies_against_sets(spark):
     texts = ["a b b c", "b c", None, "", "c C."]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
