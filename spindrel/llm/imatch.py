@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64
 
-#: A term is in the lexicon if it is in at least LEAST_DOCS documents and at most MOST_SHARE of them.
+#: A term is in the lexicon if it is in at least LEAST_DOCS different texts and at most MOST_SHARE of them.
 LEAST_DOCS, MOST_SHARE = 3, 0.05
 #: Lexicon subsets: EACH of every density 1, 1/4, 1/16, ... A text of few terms differs under the dense ones, a long one under the thin ones.
 DENSITIES, EACH = tuple(4.0**-k for k in range(7)), 16
@@ -43,8 +43,12 @@ class Terms(dict):
 _terms = Terms()
 
 
+def text_hash() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) over all documents; each task sums what its texts have before anything is shuffled."""
+    """(term, df) over all different texts; each task sums what its texts have before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -64,12 +68,13 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         if held:
             yield summed()
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    texts = docs.select("text").groupBy(text_hash()).agg(F.first("text").alias("text"))
+    return texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def in_band(docs: DataFrame) -> Column:
     """Whether `df` is that of a lexicon term of docs."""
-    return F.col("df").between(LEAST_DOCS, max(LEAST_DOCS, int(MOST_SHARE * docs.count())))
+    return F.col("df").between(LEAST_DOCS, max(LEAST_DOCS, int(MOST_SHARE * docs.select(text_hash()).distinct().count())))
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:
@@ -86,39 +91,52 @@ _SALTS = mix64(np.arange(EACH, dtype=np.uint64), 5)
 
 def fingerprint(text: str | None, words: np.ndarray) -> str:
     """Four hex digits for each lexicon subset, by density: a hash of the terms of the text that it holds, or 0000 if none.
+    Then the same over all terms of the text, in the lexicon or not.
 
     The distinct terms are sorted, and the hash of some is the sum of their hashes, mixed; equal sets alone give equal sums.
-    A text with no term in the lexicon stands for all its terms, so short and odd texts have fingerprints of their own.
     """
     terms = _terms.of(text)
+    kept = np.zeros(len(terms), bool)
     if len(words) and len(terms):
         at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
-        kept = terms[words[at] == terms]
-        terms = kept if len(kept) else terms
-    own = mix64(terms, 9)
-    sums, counts = np.zeros((EACH, len(DENSITIES)), np.uint64), np.zeros((EACH, len(DENSITIES)), np.int64)
-    step = max(1, (1 << 18) // max(1, len(terms)))  # a very long text takes a few series at once
-    for first in range(0, EACH, step):
-        held = mix64(terms[None, :] ^ _SALTS[first : first + step, None])[:, None, :] <= _LIMITS[first : first + step, :, None]
-        sums[first : first + step] = np.where(held, own, np.uint64(0)).sum(axis=2, dtype=np.uint64)
-        counts[first : first + step] = held.sum(axis=2)
+        kept = words[at] == terms
+    own, most = mix64(terms, 9), len(DENSITIES) + 1
+    halves = [(own & np.uint64(0xFFFFFFFF)).astype(float), (own >> np.uint64(32)).astype(float)]  # sums of few million are exact
+    sums, counts = np.zeros((2, EACH, most), np.uint64), np.zeros((2, EACH, most), np.int64)
+    step = 1 << 14  # a very long text takes a few terms at once
+    for first in range(0, len(terms), step):
+        some, mine = slice(first, first + step), kept[first : first + step]
+        drawn = mix64(terms[None, some] ^ _SALTS[:, None])
+        level = np.zeros(drawn.shape, np.uint8)  # how many of the series' subsets, from the densest on, hold the term
+        for k in range(len(DENSITIES)):
+            level += drawn <= _LIMITS[:, k, None]
+        place = level + most * np.arange(EACH)[:, None]
+        for i, pick in enumerate((np.flatnonzero(mine), slice(None))):
+            at = place[:, pick].ravel()
+            low, high = (np.bincount(at, np.tile(h[some][pick], EACH), EACH * most).astype(np.uint64).reshape(EACH, most) for h in halves)
+            sums[i] += low + (high << np.uint64(32))
+            counts[i] += np.bincount(at, minlength=EACH * most).reshape(EACH, most)
+    sums, counts = (np.cumsum(x[:, :, :0:-1], axis=2, dtype=x.dtype)[:, :, ::-1] for x in (sums, counts))
     codes = np.where(counts > 0, mix64(sums) % np.uint64(65535) + np.uint64(1), np.uint64(0))
-    return codes.T.astype(">u2").tobytes().hex()
+    return codes.transpose(0, 2, 1).astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
     """The share of subsets with equal hashes among those in which either text has a term, at the density where it is highest.
 
-    Dense subsets of a long text differ after any edit, thin ones of a short text are empty; at the density that suits the
-    texts, the share is near that of their common terms. A density counts if four of its subsets have a term, and all
-    subsets together do. Equal fingerprints give 1.
+    Both texts are taken by their lexicon terms, or by all terms if one of them has none in the lexicon. Dense subsets of a
+    long text differ after any edit, thin ones of a short text are empty; at the density that suits the texts, the share is
+    near that of their common terms. A density counts if four of its subsets have a term, and all subsets together do. Equal
+    fingerprints give 1.
     """
     if a == b:
         return 1.0
-    x, y = np.frombuffer(a.encode(), "S4").reshape(-1, EACH), np.frombuffer(b.encode(), "S4").reshape(-1, EACH)
+    x, y = (np.frombuffer(t.encode(), "S4").reshape(2, -1, EACH) for t in (a, b))
+    which = 0 if (x[0] != b"0000").any() and (y[0] != b"0000").any() else 1
+    x, y = x[which], y[which]
     seen = ((x != b"0000") | (y != b"0000")).sum(axis=1)
     same = ((x == y) & (x != b"0000")).sum(axis=1)
-    return float(max([same.sum() / seen.sum(), *(same[seen >= 4] / seen[seen >= 4])]))
+    return float(max([same.sum() / max(1, seen.sum()), *(same[seen >= 4] / seen[seen >= 4])]))
 
 
 def edited(text: str, following: str) -> str:
@@ -127,12 +145,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each document's bucket of neighbouring ids, with the first document of the next bucket at its end.
 
     Buckets are ranges of doc_id at approximate quantiles, four for each shuffle partition; the one document that a
     bucket needs from the next is sent to both. Texts travel once, compressed. After the last id comes the first again.
     Rows: bucket, extra (0, or 1 for the one from the next bucket), doc_id, data (the compressed text).
+    Besides, (bucket, hash): the texts of a bucket that an earlier bucket has as well.
     """
     spark = docs.sparkSession
     n = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -158,7 +177,16 @@ def with_next(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "extra", "doc_id", "data"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "bucket int, extra int, doc_id long, data binary")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "bucket int, extra int, doc_id long, data binary")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.searchsorted(bounds, np.array([-np.inf if i is None else i for i in b.column("doc_id").to_pylist()], float), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column("hash")], ["bucket", "hash"])
+
+    hashes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash")).mapInArrow(hashed, "bucket int, hash string").distinct()
+    copied = hashes.withColumn("first", F.min("bucket").over(Window.partitionBy("hash"))).where("bucket > first").select("bucket", "hash")
+    return sent, copied
 
 
 def in_order(bucket: pa.Table) -> Iterator[tuple[int, int | None, str]]:
@@ -182,15 +210,19 @@ def seams(text: str, following: str) -> list[bytes]:
     return [last, *words] if right[:1].isspace() or not words else [last + words[0], words[1]]
 
 
-def kept_terms(sent: DataFrame, band: Column) -> DataFrame:
-    """(bucket, term): the lexicon terms that each bucket's documents and edited texts have.
+def kept_terms(sent: DataFrame, copied: DataFrame, band: Column) -> DataFrame:
+    """(bucket, term): the lexicon terms that each bucket's documents and edited texts have. A text counts once, in the first
+    bucket that has it.
 
     A bucket gives each of its terms once, with its count, and gets back those in the band, so no task has the whole lexicon.
     """
     fields = pa.schema([("bucket", pa.int32()), ("term", pa.int64()), ("n", pa.int64())])
 
-    def run(bucket: pa.Table) -> pa.Table:
+    def run(bucket: pa.Table, copied: pa.Table) -> pa.Table:
+        if not bucket.num_rows:
+            return fields.empty_table()
         at, held, odd, n, out, last = bucket.column("bucket")[0].as_py(), [], [], 0, [], None
+        known = {bytes.fromhex(h) for h in copied.column("hash").to_pylist()}
 
         def summed() -> None:
             terms, counts = np.unique(np.concatenate([np.zeros(0, "<u8"), *held]), return_counts=True)
@@ -205,9 +237,11 @@ def kept_terms(sent: DataFrame, band: Column) -> DataFrame:
                 odd.extend(_terms[c] for c in seams(last, text))
             last = text
             own = _terms.of(text)
-            if extra:  # counted in its own bucket
+            digest = hashlib.md5(text.encode(), usedforsecurity=False).digest()
+            if extra or digest in known:  # counted in its own bucket, or before
                 odd.append(own.tobytes())
             else:
+                known.add(digest)
                 held.append(own)
             n += len(own)
             if n >= 6_000_000:
@@ -216,7 +250,7 @@ def kept_terms(sent: DataFrame, band: Column) -> DataFrame:
         summed()
         return pa.concat_tables(out)
 
-    found = sent.groupBy("bucket").applyInArrow(run, "bucket int, term long, n long")
+    found = sent.groupBy("bucket").cogroup(copied.groupBy("bucket")).applyInArrow(run, "bucket int, term long, n long")
     return found.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).where(band).select("bucket", "term")
 
 
@@ -230,8 +264,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     last, and a table of one row follows itself. Null text counts as empty; an empty text has the empty fingerprint (all
     zeros), which is like itself alone; an empty table gives no row; other columns are ignored.
     """
-    sent = with_next(docs)
-    terms = kept_terms(sent, in_band(docs))
+    sent, copied = with_next(docs)
+    terms = kept_terms(sent, copied, in_band(docs))
 
     def run(bucket: pa.Table, kept: pa.Table) -> pa.Table:
         words, before, rows = np.unique(kept.column("term").to_numpy().view(np.uint64)), None, []

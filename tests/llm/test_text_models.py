@@ -191,6 +191,28 @@ def test_all_terms_of_the_band_take_part(spark):
     assert len(got) == 210 and all(got[i]["fingerprint"] == imatch.fingerprint(t, words) for i, t in rows[::15])
 
 
+def test_copies_count_once_and_an_edit_is_like_its_text(spark):
+    rng = random.Random(11)
+    hot = " ".join(f"hot{i}" for i in range(200))
+    texts = [hot if i % 2 else " ".join(f"t{rng.randrange(400)}" for _ in range(200)) for i in range(200)]
+    shared = [f"{hot} end{i}" for i in range(2)]
+    texts += shared
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = {r["df"] for r in imatch.document_frequencies(docs.where("doc_id % 2 = 1 and doc_id < 200")).collect()}
+    assert df == {1}
+    got = {r["doc_id"]: r for r in imatch.compare_with_next(docs).collect()}
+    words = imatch.lexicon(docs)
+    assert all(got[i]["fingerprint"] == imatch.fingerprint(t, words) for i, t in enumerate(texts))
+    assert min(got[i]["near_edited"] for i in range(1, 199, 2)) > 0.1
+
+
+def test_text_without_lexicon_terms_is_like_its_edit():
+    words = np.sort(imatch._terms.of(" ".join(f"lex{i}" for i in range(50))))
+    text, following = (" ".join(f"{w}{i}" for i in range(50)) for w in ("own", "lex"))
+    a, b = imatch.fingerprint(text, words), imatch.fingerprint(imatch.edited(text, following), words)
+    assert imatch.likeness(a, b) > 0.1 and imatch.likeness(a, imatch.fingerprint(following, words)) == 0
+
+
 def test_seams_are_the_new_chunks_of_an_edit():
     rng = random.Random(8)
     for _ in range(2000):
