@@ -16,9 +16,6 @@ from ..functions.scoring import idf, tf_factor
 from ..sources.index import Index
 from .ast import Boolean, Boost, ConstantScore, Fuzzy, MatchAll, MatchNone, NumericRange, Occur, Phrase, Prefix, Query, Term, TermRange, Terms, Wildcard
 
-#: A prefix, wildcard, fuzzy or range query stands for so many terms at most, the first ones of the dictionary.
-MOST_TERMS = 1024
-
 
 def back(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda x: x - by)
@@ -58,6 +55,9 @@ class Statistics:
         some = [x for s in self.shards() for x in (F.lit(s), F.lit(float(value(s))))]
         return F.create_map(*some)[F.col("shard_id")] if some else F.lit(0.0)
 
+    def docs_in_shard(self) -> Column:
+        return self._by_shard(lambda s: self.docs.get(s, 0))
+
     def idf(self, name: str, *terms: str) -> Column:
         return self._by_shard(lambda s: sum(idf(self.docs.get(s, 0), self.dfs[name, t, s]) for t in terms))
 
@@ -184,26 +184,21 @@ class Compiler:
         score = F.lit(self._boosted(q.field, weight)) * self.stats.idf(q.field, *q.terms) * tf_factor(F.col("tf"), F.col("len"), self.stats.mean(q.field))
         return rows.select("doc_id", score.alias("score"))
 
-    def _expanded(self, name: str, matching: Column) -> DataFrame:
-        """The first MOST_TERMS terms of the dictionary that match."""
-        return self.index.terms.where((F.col("field") == name) & matching).orderBy("term").limit(MOST_TERMS).select("term")
-
-    def _any_term(self, name: str, terms: DataFrame, weight: float) -> DataFrame:
-        """Documents with any of at most MOST_TERMS terms, with a constant score."""
-        rows = self.index.postings.where(F.col("field") == name).join(F.broadcast(terms), "term", "left_semi")
+    def _matching(self, name: str, matching: Column, weight: float) -> DataFrame:
+        """Documents with any term that matches, with a constant score."""
+        rows = self.index.postings.where((F.col("field") == name) & matching)
         return rows.select("doc_id").distinct().select("doc_id", F.lit(self._boosted(name, weight)).alias("score"))
 
     def _prefix(self, q: Prefix, weight: float) -> DataFrame:
-        return self._any_term(q.field, self._expanded(q.field, F.col("term").startswith(q.prefix)), weight)
+        return self._matching(q.field, F.col("term").startswith(q.prefix), weight)
 
     def _terms(self, q: Terms, weight: float) -> DataFrame:
-        rows = self.index.postings.where((F.col("field") == q.field) & F.col("term").isin(list(q.values)))
-        return rows.select("doc_id").distinct().select("doc_id", F.lit(self._boosted(q.field, weight)).alias("score"))
+        return self._matching(q.field, F.col("term").isin(list(q.values)), weight)
 
     def _wildcard(self, q: Wildcard, weight: float) -> DataFrame:
         pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in q.pattern)
         start = re.match(r"[^*?]*", q.pattern)[0]  # the scan may skip what doesn't start like it
-        return self._any_term(q.field, self._expanded(q.field, F.col("term").startswith(start) & F.col("term").rlike(f"(?s)^{pattern}$")), weight)
+        return self._matching(q.field, F.col("term").startswith(start) & F.col("term").rlike(f"(?s)^{pattern}$"), weight)
 
     def _termrange(self, q: TermRange, weight: float) -> DataFrame:
         t, inside = F.col("term"), F.lit(True)
@@ -211,7 +206,7 @@ class Compiler:
             inside &= t >= q.lower if q.with_lower else t > q.lower
         if q.upper is not None:
             inside &= t <= q.upper if q.with_upper else t < q.upper
-        return self._any_term(q.field, self._expanded(q.field, inside), weight)
+        return self._matching(q.field, inside, weight)
 
     def _numericrange(self, q: NumericRange, weight: float) -> DataFrame:
         name = f"{q.field}__num"
@@ -228,18 +223,15 @@ class Compiler:
     def _fuzzy(self, q: Fuzzy, weight: float) -> DataFrame:
         """Every expansion is scored as a term, times its likeness to the query's."""
         some = self.index.terms.where((F.col("field") == q.field) & F.col("term").startswith(q.term[: q.prefix]))
-        found = within(some, "term", q.term, q.edits).orderBy("term").limit(MOST_TERMS)
-        found = found.select("term", similarity(F.col("distance"), q.term).alias("like"), "df")
+        found = within(some, "term", q.term, q.edits).select("term", similarity(F.col("distance"), q.term).alias("like"), "df")
         rows = self.index.postings.where(F.col("field") == q.field)
         if self.stats.by_shard:
-            names = [r["term"] for r in found.select("term").collect()]
-            self._learn({(q.field, t) for t in names})
-            parts = [rows.where(F.col("term") == t).select("doc_id", "term", self._bm25(q.field, t, weight).alias("bm25")) for t in names]
-            if not parts:
-                return self._matchnone(MatchNone(), weight)
-            scored = reduce(DataFrame.unionByName, parts).join(F.broadcast(found), "term")
-            return scored.groupBy("doc_id").agg(F.sum(F.col("bm25") * F.col("like")).alias("score"))
-        n = float(self.stats.docs.get(None, 0))
-        weightless = F.log(1 + (F.greatest(F.lit(n), F.col("df")) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf_factor(F.col("tf"), F.col("len"), self.stats.mean(q.field))
+            found = found.drop("df")
+            dfs = rows.join(found, "term", "left_semi").groupBy("term", "shard_id").agg(F.count("*").alias("df"))
+            scored = rows.join(found, "term").join(dfs, ["term", "shard_id"])
+        else:
+            scored = rows.join(found, "term")
+        n = self.stats.docs_in_shard()
+        weightless = F.log(1 + (F.greatest(n, F.col("df")) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf_factor(F.col("tf"), F.col("len"), self.stats.mean(q.field))
         score = F.sum(F.lit(self._boosted(q.field, weight)) * weightless * F.col("like"))
-        return rows.join(F.broadcast(found), "term").groupBy("doc_id").agg(score.alias("score"))
+        return scored.groupBy("doc_id").agg(score.alias("score"))
