@@ -36,24 +36,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of its own for each row. It is written with the rows, so it stays whatever is read twice."""
+    return staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id; documents without
-    words stay. Of rows with one doc_id one stays."""
-    docs = docs.select(*COLUMNS)
+    """Of each group of near duplicates (five words, similarity 0.8) the row with the smallest id, one without id only if none
+    has any; rows without words stay. Rows are told apart by their numbers, not by their ids."""
     tuned(spark)
-    groups = jaccard.near_duplicates(docs, k=5, num=4, den=5)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    found = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    rows = numbered(docs, "rows")
+    groups = jaccard.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), k=5, num=4, den=5)
+    placed = rows.select("row", "doc_id").join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = placed.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    docs = docs.select(*COLUMNS)
+    """Each row as many times as the mix takes it."""
     tuned(spark)
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    found = docs.dropDuplicates(["doc_id"]).alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(f"d.{c}" for c in COLUMNS))
+    rows = numbered(docs, "rows")
+    copies = mixing.mix(rows, carried="row").where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    found = rows.join(copies, "row")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

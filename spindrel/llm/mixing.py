@@ -62,8 +62,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranks)], [*b.schema.names, "rank"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, carried: str | None = None) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies, taken (= copies * size), and the long column `carried`.
 
     Every document of a source has the same expected copies, target / source_size. Documents of a source are put in order
     of size (ties by a hash of the id), so that one systematic pass takes every size in proportion and the words taken
@@ -74,11 +74,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     Null text counts as empty (size 0); a null source is a source of its own; rows that are equal in every way count one
     by one; an empty table gives an empty result; other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    more = [carried] if carried else []
+    sized = docs.select("doc_id", *more, "source", word_count(F.col("text")).alias("size"))
     sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     parts = sized.repartitionByRange(F.col("source"), "size", "key").sortWithinPartitions("source", "size", "key")
-    parts = parts.withColumn("part", F.spark_partition_id()).select("doc_id", "source", "size", "part")
-    ranked = staged(parts.mapInArrow(_counted, "doc_id long, source string, size long, part int, rank long"), "mix")
+    parts = parts.withColumn("part", F.spark_partition_id()).select("doc_id", *more, "source", "size", "part")
+    ranked = staged(parts.mapInArrow(_counted, ", ".join(["doc_id long", *(f"{c} long" for c in more), "source string, size long, part int, rank long"])), "mix")
 
     counts = ranked.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     places = counts.alias("a").join(targets.alias("b"), same).select("a.source", "part", "before", "source_size", "target", "rate").alias("b")
     placed = ranked.alias("a").join(places, (F.col("a.part") == F.col("b.part")) & same)
-    placed = placed.select("doc_id", "a.source", "size", "source_size", "target", "rate", (F.col("before") + F.col("rank")).alias("i"))
+    placed = placed.select("doc_id", *more, "a.source", "size", "source_size", "target", "rate", (F.col("before") + F.col("rank")).alias("i"))
 
     def copies(u: Column) -> Column:
         return (F.floor(F.col("i") * F.col("rate") + u) - F.floor((F.col("i") - 1) * F.col("rate") + u)).cast("long")
@@ -98,4 +99,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("target")), F.lit(k), u[k].alias("u")) for k in range(DRAWS))))
     chosen = taken.select("source", nearest["u"].alias("u")).alias("b")
     out = placed.alias("a").join(chosen, same).withColumn("copies", copies(F.col("u")))
-    return out.select("doc_id", "a.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "a.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)

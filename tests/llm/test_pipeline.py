@@ -68,6 +68,18 @@ def test_mix_gives_each_document_its_copies(spark, folder):
     assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
 
 
+def test_rows_are_told_apart_by_more_than_their_ids(spark, folder):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d") + " end"), (3, text("d")), (None, text("b")), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, folder).collect()]
+    assert sorted(kept, key=str) == sorted([(None, text("a")), (None, text("b")), (5, text("c")), (3, text("d")), (None, None)], key=str)
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder)
+    taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    assert mixed.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
+    assert {t for _, t in rows if t} == {r["text"] for r in mixed.collect() if r["text"]}
+
+
 def test_packing_holds_all_ids(spark, folder):
     docs = documents(spark, folder).where("doc_id < 100 or doc_id >= 5000")
     out = corpus_pipeline.pack_windows(spark, docs, folder).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
