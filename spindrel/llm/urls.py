@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 # The rules of the registered query.
 RULES = (
     ("allow", "com/"),
@@ -28,7 +30,7 @@ UNWANTED = (
     "viagra win winner xxx"
 ).split()
 
-#: Unigrams kept, the longest word tried, how often each unwanted word counts as a unigram and as a blocked token beyond
+#: Unigrams kept, and tokens whose counts every task has (others are looked up by a join); the longest word tried, how often each unwanted word counts as a unigram and as a blocked token beyond
 #: what is found, and how many tokens the background counts for in either class.
 VOCABULARY, LONGEST, WEIGHT, EXTRA, BACKGROUND = 50_000, 20, 50, 5, 1000.0
 #: The share of URLs taken to be unwanted before looking at them.
@@ -134,26 +136,30 @@ class Bayes:
     allowed: dict[str, int]
     blocked: dict[str, int]
     extra: dict[str, int]
+    totals: tuple[int, int, int]  # allowed and blocked tokens, and different ones, with those that aren't in the tables
     prior: float = PRIOR
 
     def __post_init__(self):
-        found = [sum(self.allowed.values()), sum(self.blocked.values())]
-        self.n = [found[0], found[1] + sum(self.extra.values())]
-        self.all = sum(found) + len(self.allowed.keys() | self.blocked.keys()) + 1
+        self.n = [self.totals[0], self.totals[1] + sum(self.extra.values())]
+        self.all = sum(self.totals) + 1
+
+    def unknown(self, tokens: list[str]) -> list[str]:
+        return sorted({t for t in tokens if t not in self.allowed and t not in self.blocked})
 
-    def score(self, tokens: list[str]) -> float:
-        """The probability of the blocked class."""
+    def score(self, tokens: list[str], others: dict[str, tuple[int, int]] | None = None) -> float:
+        """The probability of the blocked class. others: counts of tokens that aren't in the tables."""
         z = math.log(self.prior / (1 - self.prior))
         for t in tokens:
-            a, b = self.allowed.get(t, 0), self.blocked.get(t, 0)
+            a, b = (others or {}).get(t) or (self.allowed.get(t, 0), self.blocked.get(t, 0))
             common = BACKGROUND * (a + b + 1) / self.all
             b += self.extra.get(t, 0)
             z += math.log((b + common) / (self.n[1] + BACKGROUND)) - math.log((a + common) / (self.n[0] + BACKGROUND))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def fit(pages: DataFrame, words: Words) -> Bayes:
-    """Token counts of the URLs with an unwanted word and of all others, for the VOCABULARY most frequent tokens."""
+def fit(pages: DataFrame, words: Words) -> tuple[Bayes, DataFrame]:
+    """Token counts of the URLs with an unwanted word and of all others; those of the VOCABULARY most frequent tokens are in
+    the model, and (word, a, b) has them for all."""
     unwanted = frozenset(UNWANTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +172,11 @@ def fit(pages: DataFrame, words: Words) -> Bayes:
                 yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([c[t] for t in names], pa.int64()) for c in n)], ["word", "allowed", "blocked"])
 
     found = pages.select("url").mapInArrow(run, "word string, allowed long, blocked long").groupBy("word").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+    found = staged(found, "tokens")
+    totals = found.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
     rows = found.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(VOCABULARY).collect()
     extra = {t: EXTRA for w in UNWANTED for t in (w, f"/{w}")}
-    return Bayes({r["word"]: r["a"] for r in rows if r["a"]}, {r["word"]: r["b"] for r in rows if r["b"]}, extra)
+    return Bayes({r["word"]: r["a"] for r in rows if r["a"]}, {r["word"]: r["b"] for r in rows if r["b"]}, extra, tuple(totals)), found
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -178,20 +186,47 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     are equal are judged one by one; an empty table gives no row.
     """
     words = unigrams(pages)
-    bayes, table = fit(pages, words), Rules(rules)
+    (bayes, counts), table = fit(pages, words), Rules(rules)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
     fields = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
+    kinds = "page_id long, host string, path string, rule string, verdict string, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch], open_only: bool = False) -> Iterator[pa.RecordBatch]:
+        """Verdicts on the pages whose tokens are all in the model; or else (url, word) of the others."""
         for b in batches:
             rows = []
             for page_id, url in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), strict=True):
                 host, path = split_url(url)
-                if found := table.find(host, path):
+                found = table.find(host, path)
+                tokens = [] if found else words.tokens(host, path)
+                if unknown := bayes.unknown(tokens):
+                    rows += [(page_id, url, t) for t in unknown] if open_only else []
+                elif found and not open_only:
                     rows.append((page_id, host, path, *found, None))
-                else:
-                    p = bayes.score(words.tokens(host, path))
+                elif not open_only:
+                    p = bayes.score(tokens)
                     rows.append((page_id, host, path, None, "block" if p >= 0.5 else "allow", p))
+            if rows:
+                of = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("word", pa.string())]) if open_only else fields
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), of, strict=True)], schema=of)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for url, pairs, ids in zip(*(b.column(c).to_pylist() for c in ("url", "found", "ids")), strict=True):
+                host, path = split_url(url)
+                p = bayes.score(words.tokens(host, path), {r["word"]: (r["a"], r["b"]) for r in pairs})
+                rows += [(i, host, path, None, "block" if p >= 0.5 else "allow", p) for i in ids]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
+    out = pages.mapInArrow(judged, kinds)
+    if bayes.totals[2] <= VOCABULARY:
+        return out
+    # A token outside of the model is rarer than all those in it, and so are the URLs that have one.
+    rest = pages.mapInArrow(lambda batches: judged(batches, True), "page_id long, url string, word string").join(counts, "word")
+    # Each row of a URL has all its tokens, so the ids that one of them has are those of all rows.
+    by_word = rest.groupBy("url", "word").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.collect_list("page_id").alias("ids"), F.count("*").alias("rows"))
+    by_url = by_word.groupBy("url").agg(F.collect_list(F.struct("word", "a", "b")).alias("found"), F.first("ids").alias("ids"), F.first("rows").alias("rows"))
+    nulls = F.array_repeat(F.lit(None).cast("long"), (F.col("rows") - F.size("ids")).cast("int"))  # collect_list leaves null ids out
+    return out.unionByName(by_url.select("url", "found", F.concat("ids", nulls).alias("ids")).mapInArrow(looked_up, kinds))

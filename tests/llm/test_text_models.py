@@ -146,6 +146,17 @@ def test_unwanted_names_are_segmented_and_blocked(spark):
     assert all(got[i]["verdict"] == "allow" for i in range(300))
 
 
+def test_tokens_beyond_the_table_are_looked_up(spark, monkeypatch):
+    rows = [(i % 50 if i % 7 else None, f"http://host{chr(97 + i % 26)}.org/{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}word/{i % 3}", None) for i in range(200)]
+    rows += [(1000, "http://cheappills.org/rare", None), (1001, None, None), (None, "http://n.net/es/zz", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = urls.unigrams(pages)
+    monkeypatch.setattr(urls, "unigrams", lambda _: words)
+    want = sorted(map(str, urls.judge(pages).collect()))
+    monkeypatch.setattr(urls, "VOCABULARY", 5)
+    assert len(want) == len(rows) and sorted(map(str, urls.judge(pages).collect())) == want
+
+
 def test_viterbi_against_all_splits():
     words = urls.Words({"cheap": 5, "pills": 3, "che": 4, "a": 9, "ap": 2, "app": 3, "ills": 1})
 
