@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset and
+    all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spindrel-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/") if "://" in found else f"file://{found.rstrip('/')}"
@@ -39,11 +43,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spindrel/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _folders[found] = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of staged tables that nothing will read again."""
+    for df in frames:
+        if path := _folders.pop(df, None):
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -6,13 +6,14 @@ their first x - o + l and y - o + l tokens share at least l. A document's prefix
 is lengthened by l - 1 tokens, l being chosen by what its candidates are estimated to cost; a pair must then share l tokens
 (the smaller l of the two) within its prefixes before its whole sets are compared.
 
-Large groups of near copies would make a pair of every two. They are resolved by pivots instead: in each group that shares a
-prefix token, all are compared with one of them only, and what turns out connected needs no further comparison among
-itself. Only sets that share prefix tokens and aren't connected yet are compared pair by pair, those that share enough.
-
-Before a comparison, the pair's sketches are held together: the parities of the tokens' hashes in a fixed number of bits.
-They differ in at most as many bits as the sets differ in tokens, so a pair whose sketches differ more has no link. What
-few pairs are left have their whole sets fetched.
+Large groups of near copies would make a pair of every two. So pairs aren't made of groups: the rows of a token are compared
+inside a task, block by block, by sizes, places and sketches, and of the pairs that pass, a task gives out a spanning forest
+only, fewer pairs than rows. Where all pairs of a forest turn out to be links, nothing else in its group can matter. Where one
+doesn't, the group is looked at again with what is connected by then, for pairs between different components alone.
+
+A sketch has the parities of the tokens' hashes. Two sketches differ in at most as many bits as the sets differ in tokens, so a
+pair whose sketches differ more has no link. Rows carry a short one; a pair that passes it is held against sketches of about
+a bit for each token. The few pairs left have their whole sets fetched.
 """
 
 from __future__ import annotations
@@ -25,18 +26,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged
+from .common import discard, mix64, staged
 from .components import components
 
 #: Tokens that get a rank by frequency (the others count as rare), and classes of equal sets told to all tasks; both bound what is sent.
 FREQUENT, LARGE_CLASSES = 1 << 17, 1 << 13
 #: A prefix is lengthened to as many matches at most; what a comparison costs, in prefix tokens.
 MOST_MATCHES, COMPARISON = 4, 4.0
-#: Bits of a sketch.
-SKETCH_BITS = 1024
-#: Unconnected pairs within groups of more than LARGE_GROUP are looked at once they are at most PAIRS_A_ROW times the prefix
-#: rows (few of them pass the tests on sizes and places); until then there is another round with pivots.
-LARGE_GROUP, PAIRS_A_ROW = 64, 64
+#: Bits of the sketch that rows of prefixes carry, and of a document's own sketch at most.
+SHORT_BITS, LONG_BITS = 256, 1 << 20
+#: Rows of one token that are compared with each other in one task; more are dealt in blocks, and each two blocks meet.
+BLOCK_ROWS = 2048
+#: Rows that a task works on at once, whole groups if they are smaller.
+CHUNK_ROWS = 1 << 15
 #: Bits of the filter that tells which documents' sets are needed for comparisons (a prime, so that ids spread).
 FILTER_BITS = 33_554_393
 _MEMORY = 400_000
@@ -75,13 +77,28 @@ def signature(tokens: np.ndarray) -> bytes:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    at = mix64(tokens, 77) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the tokens' hashes in a power of two of bits, about one for each token."""
+    bits = min(LONG_BITS, max(SHORT_BITS, 1 << (max(1, len(tokens)) - 1).bit_length()))
+    at = (mix64(tokens, 77) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def handle(sig: bytes) -> int:
+    """Half of a signature, which stands for the set in rows that travel."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set in `size` bytes, or its own size if that is smaller, as uint64."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def _sets_and_counts(k: int):
-    """Per document a row (doc_id, n, sig, sketch); besides, per task, tokens that several of its different sets have (token, seen)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("sketch", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
+    """Per document a row (doc_id, n, sig, h, short, sketch); besides, per task, tokens that several of its different sets have (token, seen)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("h", pa.int64()), ("short", pa.binary()), ("sketch", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -93,7 +110,7 @@ def _sets_and_counts(k: int):
             known.clear()
             held.clear()
             none = pa.nulls(len(tokens))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], schema=schema)
 
         for b in batches:
             ids, ns, sigs, sketches = b.column("doc_id"), [], [], []
@@ -108,7 +125,7 @@ def _sets_and_counts(k: int):
                     held.append(tokens)
                     size += len(tokens)
             none = pa.nulls(b.num_rows).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.array(list(map(handle, sigs)), pa.int64()), pa.array([folded(s, SHORT_BITS // 8).tobytes() for s in sketches], pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=schema)
             if size >= 6_000_000:
                 yield counted()
                 size = 0
@@ -161,6 +178,66 @@ def shortest(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def shortest(n: int, num: int, den: int) -> int:
+    """The tokens of a set of n that any partner's prefix may have to meet, for one match."""
+    return n - -(-n * num // den) + 1
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges a-b over n nodes make a spanning forest, the first ones where there is a choice; each node's component."""
+    label, chosen = np.arange(n), np.zeros(len(a), bool)
+    while len(cross := np.flatnonzero(label[a] != label[b])):
+        la, lb = label[a[cross]], label[b[cross]]
+        first = np.full(n, len(a))
+        np.minimum.at(first, la, cross)
+        np.minimum.at(first, lb, cross)
+        comps = np.flatnonzero(first < len(a))
+        e = first[comps]
+        chosen[e] = True
+        parent = np.arange(n)
+        parent[comps] = np.where(label[a[e]] == comps, label[b[e]], label[a[e]])
+        two = comps[(parent[parent[comps]] == comps) & (comps < parent[comps])]  # both chose the same edge
+        parent[two] = two
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        label = parent[label]
+    return chosen, label
+
+
+class Rows:
+    """Rows of prefixes, as arrays: key, block, h (the set), n, l, pos, root (its component), side (1, 2, or 3 for both), and the sketch's words."""
+
+    NAMES = ("key", "block", "h", "n", "l", "pos", "root", "side")
+
+    def __init__(self, table: pa.Table):
+        for c in self.NAMES:
+            setattr(self, c, table.column(c).to_numpy())
+        self.words = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        self.groups = np.flatnonzero(np.r_[True, (self.key[1:] != self.key[:-1]) | (self.block[1:] != self.block[:-1])]) if table.num_rows else np.zeros(0, int)
+
+    def passing(self, num: int, den: int, every_root: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers i, j and the tightness of the pairs within groups that sizes, places and sketches allow a link.
+
+        Unless every_root, a pair is of two components, and one of its rows is on side 1 and the other on side 2.
+        """
+        end = np.repeat(np.r_[self.groups[1:], len(self.key)], np.diff(np.r_[self.groups, len(self.key)]))
+        n, l, pos = (x.astype(np.int64) for x in (self.n, self.l, self.pos))
+        out, far, rows = [], 1, np.arange(len(self.key))
+        while len(rows := rows[rows + far < end[rows]]):
+            i, j = rows, rows + far
+            both, m = n[i] + n[j], np.minimum(l[i], l[j])
+            need = -(-both * num // (num + den))
+            ok = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (pos[i] <= n[i] - need + m) & (pos[j] <= n[j] - need + m) & (self.h[i] != self.h[j])
+            if not every_root:
+                ok &= (self.root[i] != self.root[j]) & (((self.side[i] & 1) & (self.side[j] >> 1)) | ((self.side[j] & 1) & (self.side[i] >> 1))).astype(bool)
+            i, j, room = i[ok], j[ok], (both - 2 * need)[ok]
+            apart = np.bitwise_count(self.words[i] ^ self.words[j]).sum(axis=1, dtype=np.int64)
+            ok = apart <= room
+            out.append((i[ok], j[ok], (apart[ok] + 1) / (room[ok] + 1)))
+            far += 1
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 class Join:
     """Word n-grams of k words at similarity num / den or more."""
 
@@ -168,26 +245,15 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.k, self.num, self.den = k, num, den
 
-    def overlap(self, x: Column, y: Column) -> Column:
-        """The tokens that sets of x and y tokens must share."""
-        return F.ceil((x + y) * F.lit(self.num) / F.lit(self.num + self.den) - F.lit(1e-9))
-
-    def fits(self) -> Column:
-        """For rows with n, l, pos of one set and pn, pl, ppos of another that share a token at these places (from 1): the
-        sizes allow a link, and the token is in the prefixes that this pair needs."""
-        o, m = self.overlap(F.col("n"), F.col("pn")), F.least("l", "pl")
-        sizes = (F.least("n", "pn") * self.den >= F.greatest("n", "pn") * self.num)
-        return sizes & (F.col("pos") <= F.col("n") - o + m) & (F.col("ppos") <= F.col("pn") - o + m)
-
     def prefixes(self, order: Order, large: dict[bytes, int]) -> DataFrame:
-        """(key, sig, n, l, pos, rank): the prefix tokens of all different sets."""
+        """(key, h, nlp): the prefix tokens of all different sets; h is the first half of a set's signature, nlp is n, l and pos."""
         k, num, den = self.k, self.num, self.den
-        schema = pa.schema([("key", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("l", pa.int32()), ("pos", pa.int32()), ("rank", pa.int32())])
+        schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("nlp", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: set[bytes] = set()
             for b in batches:
-                keys, sigs, lengths, ns, ls, ranks = [], [], [], [], [], []
+                keys, sigs, packed = [], [], []
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     tokens = shingles(text, k)
                     sig = signature(tokens)
@@ -197,69 +263,93 @@ class Join:
                         known.clear()
                     known.add(sig)
                     ordered, base = order.keys(tokens), shortest(len(tokens), num, den)
-                    m, frequent = order.matches(ordered, base)
+                    m, _ = order.matches(ordered, base)
                     keys.append(ordered[: base + m - 1])
-                    sigs.append(sig)
-                    lengths.append(len(keys[-1]))
-                    ns.append(len(tokens))
-                    ls.append(m)
-                    ranks.append(-frequent)
+                    sigs.append(np.full(len(keys[-1]), handle(sig)))
+                    packed.append((len(tokens) << 34) + (m << 31) + np.arange(1, len(keys[-1]) + 1))
                 if keys:
-                    at = np.repeat(np.arange(len(keys)), lengths)
-                    pos = np.concatenate([np.arange(1, n + 1) for n in lengths])
-                    pick = lambda x: pa.array(np.array(x, np.int32)[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(sigs, pa.binary()).take(pa.array(at)), pick(ns), pick(ls), pa.array(pos.astype(np.int32)), pick(ranks)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, sigs, packed)], schema=schema)
 
-        return self.docs.mapInArrow(run, "key long, sig binary, n int, l int, pos int, rank int")
+        return self.docs.mapInArrow(run, "key long, h long, nlp long")
 
     @staticmethod
     def shared(prefixes: DataFrame) -> DataFrame:
-        """The rows of prefixes whose token several sets have, with the token's pivot (psig, pn, pl, ppos).
+        """The rows of prefixes whose token several sets have, each once.
+
+        Rows come sorted by token and set. A frequent token is one that several sets have anyway; its rows are spread over
+        tasks by set, so none has to take all of them.
+        """
 
-        A pivot is the set with most frequent tokens in its prefix: in a group of near copies, one that differs least from the
-        others. Rows come sorted by token, pivots first, so a task only remembers the last token's pivot.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, given = np.zeros((3, 0), np.int64), False  # the last row, and whether it has been given out
+            for b in batches:
+                t = np.concatenate([last, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+                t = t[:, np.r_[True, (t[0, 1:] != t[0, :-1]) | (t[1, 1:] != t[1, :-1])]] if t.shape[1] else t
+                if not t.shape[1]:
+                    continue
+                same = t[0, 1:] == t[0, :-1]
+                out = np.r_[False, same] | np.r_[same, False] | (t[0] >= 1 << 62)
+                end = bool(out[-1])
+                out[0] &= not given
+                given, last = end, t[:, -1:].copy()
+                if out.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in t[:, out]], ["key", "h", "nlp"])
+
+        spread = F.when(F.col("key") >= 1 << 62, F.xxhash64("key", "h")).otherwise(F.xxhash64("key"))
+        return prefixes.repartition(spread).sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long, nlp long")
+
+    def candidates(self, rows: DataFrame, most: int | None = None) -> DataFrame:
+        """(key, a, b, l, more) of rows (key, block, h, n, l, pos, short, root, side), compared within each block.
+
+        Without `most`, a spanning forest of the pairs that pass; `more` says that there were others. Else, of each two
+        components, the `most` tightest pairs; `more` says that there are others.
         """
-        names = ["key", "sig", "n", "l", "pos"]
+        num, den, names = self.num, self.den, [*Rows.NAMES, "short"]
+        schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("l", pa.int32()), ("more", pa.bool_())])
+
+        def compared(t: pa.Table) -> pa.RecordBatch:
+            r = Rows(t)
+            i, j, tight = r.passing(num, den, most is None)
+            by = np.lexsort((j, i, tight))
+            i, j = i[by], j[by]
+            if most is None:
+                chosen, label = forest(i, j, len(r.key))
+                more = np.bincount(label, minlength=len(r.key))[label[i]] > 2
+            else:
+                x, y = np.minimum(r.root[i], r.root[j]), np.maximum(r.root[i], r.root[j])
+                group = np.lexsort((np.arange(len(i)), y, x, r.block[i], r.key[i]))
+                cells = [c[group] for c in (r.key[i], r.block[i], x, y)]
+                new = np.r_[True, np.any([c[1:] != c[:-1] for c in cells], axis=0)] if len(i) else np.zeros(0, bool)
+                first = np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+                place, size = np.arange(len(i)) - first, np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(i) else np.zeros(0, int)
+                chosen, more = np.zeros(len(i), bool), np.zeros(len(i), bool)
+                chosen[group], more[group] = place < most, size > most
+            i, j, more = i[chosen], j[chosen], more[chosen]
+            a, b = np.minimum(r.h[i], r.h[j]), np.maximum(r.h[i], r.h[j])
+            return pa.RecordBatch.from_arrays([pa.array(r.key[i]), pa.array(a), pa.array(b), pa.array(np.minimum(r.l[i], r.l[j]), pa.int32()), pa.array(more)], schema=schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first = None  # one row: the pivot of the last token
-            pending = False  # it hasn't been given out, as no other set has shown up
-            last_sig = None
+            held, size = [], 0
             for b in batches:
                 if not b.num_rows:
                     continue
-                t = pa.Table.from_batches([b]).select(names)
-                lead = 0 if first is None else 1
-                t = pa.concat_tables([first, t]).combine_chunks() if lead else t
-                key = t.column("key").to_numpy()
-                sigs = t.column("sig").to_pylist()
-                n = len(key)
-                start = np.ones(n, bool)
-                start[1:] = key[1:] != key[:-1]
-                pivot = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-                new = np.zeros(n, bool)  # another set than that of the row before, and than the pivot
-                for i in np.flatnonzero(~start):
-                    before = last_sig if lead and i == 1 else sigs[i - 1]
-                    new[i] = sigs[i] != before and sigs[i] != sigs[pivot[i]]
-                out = new.copy()
-                out[pivot[new]] = True
-                if lead and not pending:
-                    out[0] = False
-                at = np.flatnonzero(out)
-                if len(at):
-                    rows, p = t.take(pa.array(at)), t.take(pa.array(pivot[at]))
-                    made = pa.table([*rows.columns, *(p.column(c) for c in names[1:])], [*names, *(f"p{c}" for c in names[1:])])
-                    yield from made.combine_chunks().to_batches()
-                end = pivot[-1]
-                was = pending if lead and end == 0 else True
-                pending = was and not out[end]
-                first, last_sig = t.slice(end, 1).combine_chunks(), sigs[-1]
-
-        ordered = prefixes.repartition("key").sortWithinPartitions("key", "rank", "n", "sig", "pos")
-        return ordered.mapInArrow(run, "key long, sig binary, n int, l int, pos int, psig binary, pn int, pl int, ppos int")
+                held.append(b.select(names))
+                size += b.num_rows
+                if size >= CHUNK_ROWS:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    key, block = t.column("key").to_numpy(), t.column("block").to_numpy()
+                    cut = int(np.flatnonzero((key != key[-1]) | (block != block[-1]))[-1]) + 1 if key[0] != key[-1] or block[0] != block[-1] else 0
+                    if cut:
+                        yield compared(t.slice(0, cut))
+                    held, size = t.slice(cut).to_batches(), t.num_rows - cut
+            if held:
+                yield compared(pa.Table.from_batches(held))
+
+        ordered = rows.select(*names).repartition("key", "block").sortWithinPartitions("key", "block")
+        return ordered.mapInArrow(run, "key long, a long, b long, l int, more boolean")
 
     def sets(self, needed: DataFrame, order: Order) -> DataFrame:
-        """(sig, keys) of the documents in needed (id, sig), perhaps with some others; texts aren't shuffled for it.
+        """(h, id, keys) of the sets in needed (h, id); texts aren't shuffled for it.
 
         needed becomes a filter of fixed size, a bit for a remainder of the ids; a pass over the texts makes the sets of the
         documents that it lets through.
@@ -276,33 +366,31 @@ class Join:
             for b in batches:
                 at = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
                 some = b.filter(pa.array((mask[at >> 3] >> (at & 7) & 1).astype(bool)))
-                found = [shingles(t, k) for t in some.column("text").to_pylist()]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([signature(t) for t in found], pa.binary()), pa.array([order.keys(t).tobytes() for t in found], pa.binary())], ["sig", "keys"])
+                if some.num_rows:
+                    found = [shingles(t, k) for t in some.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([handle(signature(t)) for t in found], pa.int64()), pa.array([order.keys(t).tobytes() for t in found], pa.binary())], ["h", "keys"])
 
-        found = self.docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "sig binary, keys binary")
-        return found.groupBy("sig").agg(F.first("keys").alias("keys"))
+        found = self.docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "h long, keys binary")
+        return found.groupBy("h").agg(F.first("keys").alias("keys")).join(needed, "h")
 
     def near(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """The pairs (a, b, l) whose sketches leave room for a link; known: (sig, n, sketch)."""
+        """The pairs (a, b, l) whose own sketches leave room for a link; known: (h, n, sketch)."""
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
-                    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                    sizes = b.column("nx").to_numpy().astype(np.int64) + b.column("ny").to_numpy()
-                    common = -(-num * sizes // (num + den))
-                    t = pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "l")], ["a", "b", "l"])
-                    yield t.filter(pa.array(apart <= sizes - 2 * common))
-
-        one = known.select(F.col("sig").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
-        two = known.select(F.col("sig").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "l", "nx", "ny", "x", "y").mapInArrow(run, "a binary, b binary, l int")
+                x, y = (b.column(c).to_pylist() for c in ("x", "y"))
+                apart = [int(np.bitwise_count(folded(p, len(q)) ^ folded(q, len(p))).sum(dtype=np.int64)) for p, q in zip(x, y, strict=True)]
+                sizes = b.column("nx").to_numpy().astype(np.int64) + b.column("ny").to_numpy()
+                t = pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "l")], ["a", "b", "l"])
+                yield t.filter(pa.array(np.array(apart, np.int64) <= sizes - 2 * -(-num * sizes // (num + den))))
+
+        one = known.select(F.col("h").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
+        two = known.select(F.col("h").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
+        return pairs.join(two, "b").join(one, "a").select("a", "b", "l", "nx", "ny", "x", "y").mapInArrow(run, "a long, b long, l int")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of pairs (a, b, l): those that share l prefix tokens and then have the similarity, as (u, v): their classes' ids."""
+        """Of pairs (a, b, l): those that share l prefix tokens and then have the similarity, as (a, b, u, v), u and v being ids."""
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,76 +404,83 @@ class Join:
                         continue
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(den * common >= num * (len(x) + len(y) - common))
-                t = pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"])
+                t = b.select(["a", "b", "u", "v"])
                 yield t.filter(pa.array(good, pa.bool_()))
 
-        one = sets.select(F.col("sig").alias("a"), F.col("keys").alias("x"), F.col("id").alias("u"))
-        two = sets.select(F.col("sig").alias("b"), F.col("keys").alias("y"), F.col("id").alias("v"))
-        return pairs.join(two, "b").join(one, "a").select("u", "v", "x", "y", "l").mapInArrow(run, "u long, v long")
+        one = sets.select(F.col("h").alias("a"), F.col("id").alias("u"), F.col("keys").alias("x"))
+        two = sets.select(F.col("h").alias("b"), F.col("id").alias("v"), F.col("keys").alias("y"))
+        return pairs.join(two, "b").join(one, "a").select("a", "b", "u", "v", "x", "y", "l").mapInArrow(run, "a long, b long, u long, v long")
+
+    def linked(self, found: DataFrame, known: DataFrame, order: Order) -> DataFrame:
+        """Staged (a, b, u, v): the links among candidates."""
+        pairs = staged(self.near(found.select("a", "b", "l").distinct(), known), "pairs")
+        if pairs.isEmpty():
+            return pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))
+        needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(known.select("h", "id"), "h"), "needed")
+        sets = staged(self.sets(needed, order), "wanted")
+        links = staged(self.verified(pairs, sets), "links")
+        discard(needed, sets, pairs)
+        return links
+
+    def attached(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Rows (key, h, nlp) with the sets' ids and short sketches."""
+        field = lambda at, bits: F.shiftright("nlp", at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        return rows.join(known.select("h", "id", "short"), "h").select("key", "h", "id", field(34, 29).alias("n"), field(31, 3).alias("l"), field(0, 31).alias("pos"), "short")
+
+    def cells(self, rows: DataFrame, keys: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of keys, placed so that any two of one key and different components meet in a block.
+
+        In each key, the rows outside of its largest component are on side 1, all are on side 2; a block has rows of one
+        part of either side. So a row of the largest component is dealt out once for every BLOCK_ROWS rows outside of it.
+        """
+        named = roots.select(F.col("node").alias("id"), "root")
+        some = self.attached(rows.join(keys, "key", "left_semi"), known).join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        sizes = some.groupBy("key", "root").agg(F.count("*").alias("c"))
+        whole = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+        parts = whole.select("key", F.col("largest.root").alias("main"), F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("ys"), F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("largest.c")) / BLOCK_ROWS)).cast("int").alias("xs"))
+        placed = some.join(parts, "key").withColumn("x", F.pmod(F.xxhash64("h"), F.col("xs")).cast("int")).withColumn("y", F.pmod(F.xxhash64("h", F.lit(1)), F.col("ys")).cast("int"))
+        mine = F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: F.struct((F.col("x") * F.col("ys") + y).alias("block"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<block:int,side:int>>"))
+        other = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct((x * F.col("ys") + F.col("y")).alias("block"), F.lit(2).alias("side")))
+        dealt = placed.withColumn("at", F.explode(F.concat(mine, other)))
+        return dealt.groupBy("key", F.col("at.block").alias("block"), "h", "n", "l", "pos", "root").agg(F.bit_or("at.side").cast("int").alias("side"), F.first("short").alias("short"))
 
     def run(self) -> DataFrame:
         """Per document: doc_id, n_shingles, component_id."""
-        both = staged(self.docs.mapInArrow(_sets_and_counts(self.k), "doc_id long, n int, sig binary, sketch binary, token long, seen long"), "sets")
+        both = staged(self.docs.mapInArrow(_sets_and_counts(self.k), "doc_id long, n int, sig binary, h long, short binary, sketch binary, token long, seen long"), "sets")
         mine = both.where(F.col("sig").isNotNull()).select("doc_id", "n", "sig")
-        classes = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+        own = [F.first(c).alias(c) for c in ("n", "h", "short", "sketch")]
+        known = staged(both.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), *own), "classes")
         top = both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
         order = Order(top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy())
-        large = {bytes(r["sig"]): r["id"] for r in classes.where("copies > 4").orderBy(F.desc("copies"), "sig").limit(LARGE_CLASSES).collect()}
-        known = both.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        ids = classes.where("id is not null").select("sig", "id")
+        large = {bytes(r["sig"]): r["id"] for r in known.where("copies > 4").select("sig", "id", "copies").orderBy(F.desc("copies"), "sig").limit(LARGE_CLASSES).collect()}
+        named = known.where("id is not null")
 
         rows = staged(self.shared(self.prefixes(order, large)), "prefixes")
-        most = PAIRS_A_ROW * rows.count()
-        links = done = roots = None
-        active, last, step = rows, False, 0
-        while True:
-            step += 1
-            if roots is not None:
-                placed = self._placed(active, ids, roots)
-                groups = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.sum(F.col("c") * F.col("c")).alias("same"))
-                split = groups.where("roots > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
-                split = staged(split, "split")
-                large_pairs = split.where(F.col("n") > LARGE_GROUP).agg(F.sum("pairs")).first()[0] or 0
-                last = large_pairs <= most
-                some = placed.join(split.select("key"), "key")
-                names = ("n", "sig", "l", "pos", "root")
-                if last:
-                    other = some.select("key", *(F.col(c).alias(f"p{c}") for c in names))
-                    active = some.join(other, "key").where(F.col("root") < F.col("proot"))
-                else:
-                    some = staged(some, "active")
-                    any_one = F.struct(F.xxhash64("sig", F.lit(step)).alias("h"), *names)  # most likely of the largest component
-                    pivots = some.groupBy("key").agg(F.min(any_one).alias("p")).select("key", *(F.col(f"p.{c}").alias(f"p{c}") for c in names))
-                    active = staged(some.join(pivots, "key"), "active")
-            pairs = active.where((F.col("sig") != F.col("psig")) & self.fits())
-            pairs = (pairs if roots is None else pairs.where("root <> proot")).select(F.col("sig").alias("a"), F.col("psig").alias("b"), F.least("l", "pl").alias("l"))
-            pairs = pairs.groupBy("a", "b", "l").agg(F.count("*").alias("shared"))
-            pairs = pairs.where(F.col("shared") >= F.col("l")) if last else pairs  # the last round has all that a pair shares
-            pairs = pairs.select("a", "b", "l")
-            found = staged(self.near(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), known), "pairs")
-            needed = staged(found.select(F.col("a").alias("sig")).unionByName(found.select(F.col("b").alias("sig"))).distinct().join(ids, "sig"), "needed")
-            if not needed.isEmpty():
-                sets = staged(self.sets(needed, order).join(needed, "sig"), "wanted")
-                new = self.verified(found, sets)
-                links = staged(new if links is None else links.unionByName(new), "links")
-                done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
-            if links is None and roots is None:
-                links = self.docs.limit(0).select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v"))
-            roots = staged(components(links), "roots")
-            if last:
-                break
-            active = active.where("sig <> psig")
-        named = classes.join(roots, classes.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("component"))
-        joined = mine.alias("d").join(named.alias("c"), (F.col("d.sig") == F.col("c.sig")) & (F.col("n") > 0), "left")
+        big = staged(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_ROWS), "big")
+        block = F.lit(0) if big.isEmpty() else F.coalesce(F.pmod(F.xxhash64("h"), F.ceil(F.col("c") / BLOCK_ROWS)), F.lit(0)).cast("int")
+        start = self.attached(rows, named) if big.isEmpty() else self.attached(rows, named).join(big, "key", "left")
+        found = staged(self.candidates(start.withColumn("block", block).withColumn("root", F.lit(0).cast("long")).withColumn("side", F.lit(3))), "candidates")
+        links = self.linked(found, named, order)
+        failed = found.where("more").join(links.select("a", "b"), ["a", "b"], "left_anti").select("key")
+        keys = staged(failed.unionByName(big.select("key")).distinct(), "keys")
+        most, roots = 1, staged(components(links.select("u", "v")), "roots")
+        while not keys.isEmpty():
+            discard(found)
+            found = staged(self.candidates(self.cells(rows, keys, named, roots), most), "candidates")
+            new = self.linked(found, named, order)
+            joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = staged(components(joined.unionByName(new.select("u", "v"))), "roots")
+            placed = named.join(roots, named.id == roots.node, "left").select("h", F.coalesce("root", "id").alias("r"))
+            of = [placed.select(F.col("h").alias(c), F.col("r").alias(f"r{c}")) for c in ("a", "b")]
+            open_ = found.where("more").join(of[0], "a").join(of[1], "b").where("ra <> rb")
+            keys = staged(open_.select("key").distinct(), "keys")
+            most *= 8
+        discard(rows, found)
+        component = known.join(roots, known.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("component"))
+        joined = mine.alias("d").join(component.alias("c"), (F.col("d.sig") == F.col("c.sig")) & (F.col("n") > 0), "left")
         own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
         return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
-    @staticmethod
-    def _placed(active: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
-        """The rows that are still to be compared, pivots of former rounds left out, with the root of each."""
-        named = ids.join(roots, ids.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("root"))
-        return active.select("key", "sig", "n", "l", "pos").join(named, "sig")
-
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links of similarity num / den or more reach).
