@@ -1,15 +1,17 @@
-"""URL filters: rules by host and path, and for the rest naive Bayes over words that Viterbi segmentation finds in names."""
+"""URL filters: rules by host and path, and for the rest naive Bayes over words that Viterbi segmentation finds in names.
+
+Nothing is cut by a size: words are counted in all pages, and names, words and tokens meet by joins. The classifier learns what
+the rules say of the URLs that they judge.
+"""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -23,20 +25,10 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-# Words that mark hosts and paths to be left out. URLs with one of them train the blocked class.
-UNWANTED = (
-    "ad ads adult adults advert bet bets betting bonus casino cheap click coupon crypto dating deal deals escort farm free gamble "
-    "gambling jackpot loan loans lottery nude payday pill pills poker popup porn promo sex sexy slots spam track tracker tracking "
-    "viagra win winner xxx"
-).split()
-
-#: Unigrams kept, and tokens whose counts every task has (others are looked up by a join); the longest word tried, how often each unwanted word counts as a unigram and as a blocked token beyond
-#: what is found, and how many tokens the background counts for in either class.
-VOCABULARY, LONGEST, WEIGHT, EXTRA, BACKGROUND = 50_000, 20, 50, 5, 1000.0
-#: The share of URLs taken to be unwanted before looking at them.
-PRIOR = 0.05
-_LETTERS = re.compile(r"[^\W\d_]+")
-_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+#: A word of a name has so many letters at most; this bounds what is looked up for each letter of a name.
+LONGEST = 32
+LETTERS = r"\p{L}+"
+_MARKUP = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
 
 
 def lower_ascii(text: str) -> str:
@@ -71,162 +63,112 @@ class Rules:
         return best
 
 
-@dataclass
-class Words:
-    """Unigram counts; segment() gives the split of a name with the highest probability (Viterbi)."""
-
-    counts: dict[str, int]
-    total: int = 0
-    _seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.total = sum(self.counts.values()) + 1
-
-    def cost(self, word: str) -> float:
-        """-log of a word's probability; one not known costs more the longer it is, ten times for each letter."""
-        n = self.counts.get(word)
-        return math.log(self.total / n) if n else math.log(self.total) + len(word) * math.log(10)
-
-    def segment(self, name: str) -> tuple[str, ...]:
-        if name not in self._seen:
-            best, start = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
-            for end in range(1, len(name) + 1):
-                for k in range(max(0, end - LONGEST), end):
-                    if (c := best[k] + self.cost(name[k:end])) < best[end]:
-                        best[end], start[end] = c, k
-            out, end = [], len(name)
-            while end:
-                out.append(name[start[end] : end])
-                end = start[end]
-            if len(self._seen) > 100_000:
-                self._seen.clear()
-            self._seen[name] = tuple(reversed(out))
-        return self._seen[name]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Segmented words of both, those of the path apart; digits and marks only separate."""
-        return [w for run in _LETTERS.findall(host.lower()) for w in self.segment(run)] + [f"/{w}" for run in _LETTERS.findall(path.lower()) for w in self.segment(run)]
-
-
-def _title_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n: Counter = Counter()
-        for url, title in zip(b.column("url").to_pylist(), b.column("title").to_pylist(), strict=True):
-            n.update(w for text in (split_url(url)[1], title or "") for w in _LETTERS.findall(text.lower()) if len(w) <= LONGEST)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-
-def unigrams(pages: DataFrame) -> Words:
-    """The VOCABULARY most frequent words of all pages' paths and titles, besides the unwanted ones. Hosts don't count: their
-    names are what is to be split."""
-    found = pages.select("url", F.regexp_extract("html", _TITLE, 1).alias("title")).mapInArrow(_title_words, "word string, n long")
-    rows = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    counts = {r["word"]: r["n"] for r in rows}
-    for w in UNWANTED:
-        counts[w] = counts.get(w, 0) + WEIGHT
-    return Words(counts)
-
-
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes with two classes. Token frequencies of both are smoothed towards those of all URLs, so that a
-    token that one class has hardly seen says little."""
-
-    allowed: dict[str, int]
-    blocked: dict[str, int]
-    extra: dict[str, int]
-    totals: tuple[int, int, int]  # allowed and blocked tokens, and different ones, with those that aren't in the tables
-    prior: float = PRIOR
-
-    def __post_init__(self):
-        self.n = [self.totals[0], self.totals[1] + sum(self.extra.values())]
-        self.all = sum(self.totals) + 1
-
-    def unknown(self, tokens: list[str]) -> list[str]:
-        return sorted({t for t in tokens if t not in self.allowed and t not in self.blocked})
-
-    def score(self, tokens: list[str], others: dict[str, tuple[int, int]] | None = None) -> float:
-        """The probability of the blocked class. others: counts of tokens that aren't in the tables."""
-        z = math.log(self.prior / (1 - self.prior))
-        for t in tokens:
-            a, b = (others or {}).get(t) or (self.allowed.get(t, 0), self.blocked.get(t, 0))
-            common = BACKGROUND * (a + b + 1) / self.all
-            b += self.extra.get(t, 0)
-            z += math.log((b + common) / (self.n[1] + BACKGROUND)) - math.log((a + common) / (self.n[0] + BACKGROUND))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
-
-
-def fit(pages: DataFrame, words: Words) -> tuple[Bayes, DataFrame]:
-    """Token counts of the URLs with an unwanted word and of all others; those of the VOCABULARY most frequent tokens are in
-    the model, and (word, a, b) has them for all."""
-    unwanted = frozenset(UNWANTED)
+def segment(name: str, found: Iterable[tuple[int, int, int]], total: int) -> list[str]:
+    """The split of a name with the highest probability (Viterbi). found: (start, length, count) of the known words in it.
+
+    A known word's probability is its share of all counted words; a piece that isn't known is less likely the longer it is,
+    ten times for each letter.
+    """
+    counts = {(start, start + length): n for start, length, n in found}
+    best, came = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+    for end in range(1, len(name) + 1):
+        for start in range(max(0, end - LONGEST), end):
+            n = counts.get((start, end))
+            cost = best[start] + math.log(total + 1) + (-math.log(n) if n else (end - start) * math.log(10))
+            if cost < best[end]:
+                best[end], came[end] = cost, start
+    out, end = [], len(name)
+    while end:
+        out.append(name[came[end] : end])
+        end = came[end]
+    return out[::-1]
+
+
+def runs(text: Column) -> Column:
+    """The runs of letters of a text, in lower case; digits and marks only separate."""
+    return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
+
+
+def unigrams(pages: DataFrame) -> DataFrame:
+    """(word, n) over the text of all pages, without markup."""
+    words = pages.select(F.explode(runs(F.regexp_replace("html", _MARKUP, " "))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def segments(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, words array) of distinct names. The pieces of each name are looked up among all words by a join."""
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    places = F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start")
+    pieces = names.select("name", places).select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("start") + 1))).alias("length"))
+    pieces = pieces.withColumn("word", F.substring("name", F.col("start"), F.col("length")))
+    known = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct(F.col("start") - 1, "length", "n")).alias("found"))  # bounded by the name's length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = (Counter(), Counter())
-            for url in b.column("url").to_pylist():
-                tokens = words.tokens(*split_url(url))
-                n[any(t.lstrip("/") in unwanted for t in tokens)].update(tokens)
-            if names := list(n[0].keys() | n[1].keys()):
-                yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([c[t] for t in names], pa.int64()) for c in n)], ["word", "allowed", "blocked"])
+            found = [[tuple(f.values()) for f in fs or ()] for fs in b.column("found").to_pylist()]
+            split = [segment(n, f, total) for n, f in zip(b.column("name").to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(split, pa.list_(pa.string()))], ["name", "words"])
+
+    return names.join(known, "name", "left").select("name", "found").mapInArrow(run, "name string, words array<string>")
+
+
+def tokens(places: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, path, token) for each token of distinct places (host, path): segmented words, those of the path after a slash."""
+    marked = lambda text, mark: F.transform(runs(F.col(text)), lambda r: F.struct(F.lit(mark).alias("mark"), r.alias("name")))
+    names = places.select("host", "path", F.explode(F.concat(marked("host", ""), marked("path", "/"))).alias("r")).select("host", "path", "r.mark", "r.name")
+    split = staged(segments(names.select("name").distinct(), words), "segments")
+    return names.join(split, "name").select("host", "path", F.explode("words").alias("word"), "mark").select("host", "path", F.concat("mark", "word").alias("token"))
+
 
-    found = pages.select("url").mapInArrow(run, "word string, allowed long, blocked long").groupBy("word").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-    found = staged(found, "tokens")
-    totals = found.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
-    rows = found.orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(VOCABULARY).collect()
-    extra = {t: EXTRA for w in UNWANTED for t in (w, f"/{w}")}
-    return Bayes({r["word"]: r["a"] for r in rows if r["a"]}, {r["word"]: r["b"] for r in rows if r["b"]}, extra, tuple(totals)), found
+def held_out() -> Column:
+    """A fifth of all places, which the classifier doesn't learn from."""
+    return F.crc32(F.concat("host", "path")) % 5 == 0
+
+
+def weights(found: DataFrame, judged: DataFrame) -> tuple[DataFrame, float]:
+    """Multinomial naive Bayes with add-one smoothing: (token, weight), positive where it speaks for blocking, and the prior.
+
+    found: tokens of places; judged: (host, path, blocked) of the places learnt from. A token that none of these has weighs
+    nothing, so URLs of unknown words alone are judged by the shares of the classes.
+    """
+    counts = staged(found.join(judged, ["host", "path"]).groupBy("token").agg(F.count_if("blocked").alias("b"), F.count_if(~F.col("blocked")).alias("a")), "tokens")
+    t = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    n = judged.agg(F.count_if("blocked").alias("b"), F.count_if(~F.col("blocked")).alias("a")).first()
+    base = math.log((t["a"] + t["v"] + 1) / (t["b"] + t["v"] + 1))
+    return counts.select("token", (F.log(F.col("b") + 1) - F.log(F.col("a") + 1) + base).alias("weight")), math.log((n["b"] + 1) / (n["a"] + 1))
+
+
+def log_odds(places: DataFrame, found: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
+    """(host, path, z) of distinct places: the log odds of blocking."""
+    weight, prior = model
+    sums = found.join(weight, "token").groupBy("host", "path").agg(F.sum("weight").alias("z"))
+    return places.join(sums, ["host", "path"], "left").select("host", "path", (F.coalesce("z", F.lit(0.0)) + prior).alias("z"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict (allow or block), score (of the method, where no rule fits).
+    """Per page: page_id, host, path, rule, verdict (allow or block), score (probability of blocking, where no rule fits).
 
-    A null URL, or one without ://, has an empty host and path, no rule and a verdict of allow; html may be null; rows that
-    are equal are judged one by one; an empty table gives no row.
+    A null URL, or one without ://, has an empty host and path and no rule, and is judged by the shares of the classes, as are
+    URLs without a known word; where these are even, it is allowed. html may be null; rows that are equal are judged alike,
+    each in a row of its own, and count once in training; an empty table gives no row; other columns are ignored.
     """
-    words = unigrams(pages)
-    (bayes, counts), table = fit(pages, words), Rules(rules)
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
-    fields = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("score", pa.float64())])
-    kinds = "page_id long, host string, path string, rule string, verdict string, score double"
-
-    def judged(batches: Iterator[pa.RecordBatch], open_only: bool = False) -> Iterator[pa.RecordBatch]:
-        """Verdicts on the pages whose tokens are all in the model; or else (url, word) of the others."""
-        for b in batches:
-            rows = []
-            for page_id, url in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), strict=True):
-                host, path = split_url(url)
-                found = table.find(host, path)
-                tokens = [] if found else words.tokens(host, path)
-                if unknown := bayes.unknown(tokens):
-                    rows += [(page_id, url, t) for t in unknown] if open_only else []
-                elif found and not open_only:
-                    rows.append((page_id, host, path, *found, None))
-                elif not open_only:
-                    p = bayes.score(tokens)
-                    rows.append((page_id, host, path, None, "block" if p >= 0.5 else "allow", p))
-            if rows:
-                of = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("word", pa.string())]) if open_only else fields
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), of, strict=True)], schema=of)
-
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = Rules(rules)
+    fields = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+
+    def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for url, pairs, ids in zip(*(b.column(c).to_pylist() for c in ("url", "found", "ids")), strict=True):
-                host, path = split_url(url)
-                p = bayes.score(words.tokens(host, path), {r["word"]: (r["a"], r["b"]) for r in pairs})
-                rows += [(i, host, path, None, "block" if p >= 0.5 else "allow", p) for i in ids]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-
-    out = pages.mapInArrow(judged, kinds)
-    if bayes.totals[2] <= VOCABULARY:
-        return out
-    # A token outside of the model is rarer than all those in it, and so are the URLs that have one.
-    rest = pages.mapInArrow(lambda batches: judged(batches, True), "page_id long, url string, word string").join(counts, "word")
-    # Each row of a URL has all its tokens, so the ids that one of them has are those of all rows.
-    by_word = rest.groupBy("url", "word").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.collect_list("page_id").alias("ids"), F.count("*").alias("rows"))
-    by_url = by_word.groupBy("url").agg(F.collect_list(F.struct("word", "a", "b")).alias("found"), F.first("ids").alias("ids"), F.first("rows").alias("rows"))
-    nulls = F.array_repeat(F.lit(None).cast("long"), (F.col("rows") - F.size("ids")).cast("int"))  # collect_list leaves null ids out
-    return out.unionByName(by_url.select("url", "found", F.concat("ids", nulls).alias("ids")).mapInArrow(looked_up, kinds))
+            split = [split_url(u) for u in b.column("url").to_pylist()]
+            found = [table.find(*s) or (None, None) for s in split]
+            columns = [[x[0] for x in split], [x[1] for x in split], [x[0] for x in found], [x[1] for x in found]]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, pa.string()) for c in columns)], schema=fields)
+
+    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(ruled, "page_id long, host string, path string, rule string, verdict string")
+    parsed = staged(parsed, "urls")
+    places = staged(parsed.groupBy("host", "path").agg(F.first("verdict").alias("verdict")), "places")
+    found = staged(tokens(places, staged(unigrams(pages), "words")), "url-tokens")
+    judged = places.where(F.col("verdict").isNotNull() & ~held_out()).select("host", "path", (F.col("verdict") == "block").alias("blocked"))
+    scored = log_odds(places.where("verdict is null"), found, weights(found, judged))
+    out = parsed.join(scored, ["host", "path"], "left")
+    score = F.when(F.col("rule").isNull(), 1 / (1 + F.exp(-F.col("z"))))
+    verdict = F.coalesce("verdict", F.when(F.col("z") > 0, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
