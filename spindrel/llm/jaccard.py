@@ -37,6 +37,8 @@ MOST_MATCHES, COMPARISON = 4, 4.0
 SHORT_BITS, LONG_BITS = 256, 1 << 20
 #: Rows of one token that are compared with each other in one task; more are dealt in blocks, and each two blocks meet.
 BLOCK_ROWS = 2048
+#: In a second look, so many candidates of each two components at first, and so many times more in each look that follows.
+ROOT_PAIRS = 256
 #: Rows that a task works on at once, whole groups if they are smaller.
 CHUNK_ROWS = 1 << 15
 #: Bits of the filter that tells which documents' sets are needed for comparisons (a prime, so that ids spread).
@@ -444,6 +446,16 @@ class Join:
         dealt = placed.withColumn("at", F.explode(F.concat(mine, other)))
         return dealt.groupBy("key", F.col("at.block").alias("block"), "h", "n", "l", "pos", "root").agg(F.bit_or("at.side").cast("int").alias("side"), F.first("short").alias("short"))
 
+    @staticmethod
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """roots (node, root) after more links (u, v): only the components that these connect are looked at."""
+        of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("u", "v")]
+        ends = links.join(of[0], "u", "left").join(of[1], "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+        moved = staged(components(ends), "moved")
+        by_root = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        known = roots.join(by_root, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return staged(known.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
+
     def run(self) -> DataFrame:
         """Per document: doc_id, n_shingles, component_id."""
         both = staged(self.docs.mapInArrow(_sets_and_counts(self.k), "doc_id long, n int, sig binary, h long, short binary, sketch binary, token long, seen long"), "sets")
@@ -463,18 +475,18 @@ class Join:
         links = self.linked(found, named, order)
         failed = found.where("more").join(links.select("a", "b"), ["a", "b"], "left_anti").select("key")
         keys = staged(failed.unionByName(big.select("key")).distinct(), "keys")
-        most, roots = 1, staged(components(links.select("u", "v")), "roots")
+        most, roots = ROOT_PAIRS, staged(components(links.select("u", "v")), "roots")
         while not keys.isEmpty():
             discard(found)
             found = staged(self.candidates(self.cells(rows, keys, named, roots), most), "candidates")
             new = self.linked(found, named, order)
-            joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-            roots = staged(components(joined.unionByName(new.select("u", "v"))), "roots")
+            if not new.isEmpty():
+                roots = self.merged(roots, new)
             placed = named.join(roots, named.id == roots.node, "left").select("h", F.coalesce("root", "id").alias("r"))
             of = [placed.select(F.col("h").alias(c), F.col("r").alias(f"r{c}")) for c in ("a", "b")]
             open_ = found.where("more").join(of[0], "a").join(of[1], "b").where("ra <> rb")
             keys = staged(open_.select("key").distinct(), "keys")
-            most *= 8
+            most *= ROOT_PAIRS
         discard(rows, found)
         component = known.join(roots, known.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("component"))
         joined = mine.alias("d").join(component.alias("c"), (F.col("d.sig") == F.col("c.sig")) & (F.col("n") > 0), "left")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import types as T
 
 from spindrel.llm import jaccard, mixing, neighbours, packing, sharding, tokenbin
+from spindrel.llm.common import staged
 from spindrel.llm.components import components
 from spindrel.llm.tokens import encoder, public_vocabulary
 
@@ -270,6 +271,84 @@ def test_more_matches_are_asked_for_where_candidates_are_many():
     assert (many[:10] >= 1000).all() and many[10] >= 1 << 62
 
 
+def test_a_large_group_gives_few_candidates(spark, monkeypatch):
+    """2,000 near copies of one text, dealt in blocks: candidates stay below a multiple of the rows, components are right."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 300)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(60)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    made, plain = [], jaccard.Join.candidates
+
+    def counted(self, df, most=None):
+        made.append(found := staged(plain(self, df, most), "counted"))
+        return found
+
+    monkeypatch.setattr(jaccard.Join, "candidates", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, 1, 9, 10).collect()}
+    assert sum(c.count() for c in made) < 40_000  # of 2 million pairs
+    sets = np.zeros((2000, 100), np.float32)
+    for i, t in rows:
+        sets[i, [int(w[1:]) + (60 if w[0] == "e" else 0) for w in set(t.split())]] = 1
+    common, n = sets @ sets.T, sets.sum(axis=1)
+    links = np.argwhere(10 * common >= 9 * (n[:, None] + n[None, :] - common))
+    root = list(range(2000))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    assert got == {i: find(i) for i in range(2000)}
+
+
+def test_forest_spans_and_has_no_cycle():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (30, 20), (40, 400), (500, 600)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        a, b = a[a != b], b[a != b]
+        chosen, label = jaccard.forest(a, b, n)
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in np.flatnonzero(chosen):
+            assert find(a[i]) != find(b[i])
+            root[find(a[i])] = find(b[i])
+        assert all(find(x) == find(y) for x, y in zip(a, b, strict=True))
+        assert len(set(label)) == len({find(i) for i in range(n)}) and all((label[x] == label[y]) for x, y in zip(a, b, strict=True))
+
+
+def test_sketches_fold_and_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 200, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: size // 2], rng.integers(0, 1 << 62, size // 3).astype(np.uint64)]))
+        p, q = jaccard.sketch(x), jaccard.sketch(y)
+        apart = np.bitwise_count(jaccard.folded(p, len(q)) ^ jaccard.folded(q, len(p))).sum()
+        assert apart <= len(np.setxor1d(x, y))
+        assert len(jaccard.folded(p, 32)) == 4
+
+
+def test_very_long_texts_are_linked(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    texts = [" ".join(words), " ".join([*words[:30_000], "odd", *words[30_001:]]), " ".join(words[:20_000]), "short text"]
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect())
+    assert got == [(0, 59_996, 0), (1, 59_996, 0), (1, 59_996, 0), (2, 19_996, 2), (3, 1, 3)]
+
+
 def test_components_against_a_plain_search(spark):
     rng = random.Random(12)
     links = [(i, i + 1) for i in range(30)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(500, x) for x in range(501, 520)] + [(7, 7), (None, 3)]
