@@ -2,7 +2,7 @@
 
 A file: blocks of BLOCK ids (the last one shorter), each id in `bits` bits, least significant bit first, every block padded
 to whole bytes; then the index: document ids (int64), ids before each document (uint64, one more than documents), block
-offsets (uint64, one more than blocks); then a trailer of seven little-endian uint64: documents, ids, blocks, bits, ids a
+offsets (uint64, one more than blocks), a bit for each document that says whether its id is null; then a trailer of seven little-endian uint64: documents, ids, blocks, bits, ids a
 block, version, magic. Readers start from the trailer, so a writer never holds more than a block and the index.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import open_fs, scratch, staged
 from .tokens import encoder
 
-BLOCK, VERSION, MAGIC, TRAILER = 1 << 14, 1, int.from_bytes(b"spnTokB1", "little"), 7 * 8
+BLOCK, VERSION, MAGIC, TRAILER = 1 << 14, 2, int.from_bytes(b"spnTokB1", "little"), 7 * 8
 
 
 def bits_for(vocabulary: int) -> int:
@@ -46,10 +46,11 @@ class Writer:
     def __init__(self, out, bits: int, block: int = BLOCK):
         self.out, self.bits, self.block = out, bits, block
         self.held, self.n_held, self.at = [], 0, 0
-        self.doc_ids, self.starts, self.offsets = [], [0], [0]
+        self.doc_ids, self.starts, self.offsets, self.nulls = [], [0], [0], []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
         self.starts.append(self.starts[-1] + len(ids))
         self.held.append(ids)
         self.n_held += len(ids)
@@ -67,7 +68,7 @@ class Writer:
 
     def close(self) -> None:
         self._flush(self.n_held)
-        self.out.write(np.array(self.doc_ids, "<i8").tobytes() + np.array(self.starts, "<u8").tobytes() + np.array(self.offsets, "<u8").tobytes())
+        self.out.write(np.array(self.doc_ids, "<i8").tobytes() + np.array(self.starts, "<u8").tobytes() + np.array(self.offsets, "<u8").tobytes() + np.packbits(np.array(self.nulls, bool), bitorder="little").tobytes())
         self.out.write(np.array([len(self.doc_ids), self.starts[-1], len(self.offsets) - 1, self.bits, self.block, VERSION, MAGIC], "<u8").tobytes())
 
 
@@ -81,12 +82,14 @@ class Reader:
         self.n_docs, self.n_ids, n_blocks, self.bits, self.block, version, magic = map(int, np.frombuffer(source.read(TRAILER), "<u8"))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file of this version")
-        index = 8 * (self.n_docs + self.n_docs + 1 + n_blocks + 1)
+        numbers = 8 * (self.n_docs + self.n_docs + 1 + n_blocks + 1)
+        index = numbers + -(-self.n_docs // 8)
         source.seek(size - TRAILER - index)
         data = source.read(index)
         self.doc_ids = np.frombuffer(data, "<i8", self.n_docs)
         self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, 8 * self.n_docs).astype(np.int64)
         self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, 8 * (2 * self.n_docs + 1)).astype(np.int64)
+        self.nulls = np.unpackbits(np.frombuffer(data, np.uint8, offset=numbers), bitorder="little", count=self.n_docs).astype(bool)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from start up to stop, whatever documents they belong to."""
@@ -125,19 +128,18 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int, to: str) ->
                 out = fs.open_output_stream(place)
                 writer = Writer(out, bits)
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.encode_many(b.column("text").to_pylist()), strict=True):
-                writer.add(NULL_ID if doc_id is None else doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+                writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
                 n_docs += 1
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [writer.starts[-1]]}, MANIFEST)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return staged(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "token-manifest")
 
 
-#: Stands for a null doc_id in a file.
-NULL_ID = -(1 << 63)
 MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -155,19 +157,19 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                         end = max(k + 1, int(np.searchsorted(r.starts, r.starts[k] + (1 << 20), "right")) - 1)
                         ids, s = r.ids(int(r.starts[k]), int(r.starts[end])).tobytes(), r.starts[k : end + 1]
                         crc = [zlib.crc32(ids[4 * (a - s[0]) : 4 * (z - s[0])]) for a, z in zip(s[:-1], s[1:], strict=True)]
-                        names = r.doc_ids[k:end]
-                        yield pa.RecordBatch.from_arrays([pa.array(names, mask=names == NULL_ID), pa.array(s[:-1] + base), pa.array(np.diff(s)), pa.array(crc, pa.int64())], schema=DIGEST)
+                        yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[k:end], mask=r.nulls[k:end]), pa.array(s[:-1] + base), pa.array(np.diff(s)), pa.array(crc, pa.int64())], schema=DIGEST)
                         k = end
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "base")
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # With a number of its own, the exchange isn't folded into a few tasks; a file is read by one.
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocabulary_path: str, end_id: int = 2) -> DataFrame:
     """Encodes docs, writes them below the shared folder and reads them back; see write_tokens and read_digests.
 
-    Null text counts as empty (just the end id); a null doc_id comes first and stays null; rows with one doc_id are put in
-    order of text; an empty table gives no file and no row; other columns are ignored.
+    Null text counts as empty (just the end id); a null doc_id comes first and stays null, and no other id does; rows with
+    one doc_id are put in order of a hash of their texts; an empty table gives no file and no row; other columns are ignored.
     """
     return read_digests(write_tokens(docs, vocabulary_path, end_id, scratch(docs.sparkSession, "tokens")))

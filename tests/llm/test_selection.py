@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import types as T
 
 from spindrel.llm import jaccard, mixing, neighbours, packing, sharding, tokenbin
-from spindrel.llm.common import staged
+from spindrel.llm.common import scratch, staged
 from spindrel.llm.components import components
 from spindrel.llm.tokens import encoder, public_vocabulary
 
@@ -197,6 +197,15 @@ def test_random_access(tmp_path):
             assert np.array_equal(r.ids(a, b), all_ids[a:b])
 
 
+def test_every_id_survives_and_each_file_is_read_by_a_task_of_its_own(spark):
+    rows = [(-(1 << 63), "lowest"), (None, "none"), ((1 << 63) - 1, "highest"), *((i, f"text {i}") for i in range(300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = tokenbin.token_files(docs, public_vocabulary()).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -(1 << 63), *range(300), (1 << 63) - 1]
+    manifest = tokenbin.write_tokens(docs, public_vocabulary(), 2, f"{scratch(spark, 'tokens')}")
+    assert manifest.count() > 1 and tokenbin.read_digests(manifest).rdd.getNumPartitions() == manifest.count()
+
+
 def test_token_files_round_trip(spark):
     rows, docs = token_docs(spark)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenbin.token_files(docs, public_vocabulary()).collect())
