@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,59 +16,84 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 #: A term is in the lexicon if it is in at least LEAST_DOCS different texts and at most MOST_SHARE of them.
-LEAST_DOCS, MOST_SHARE = 3, 0.05
+LEAST_DOCS, MOST_SHARE = 3, 0.5
 #: Lexicon subsets: EACH of every density 1, 1/4, 1/16, ... A text of few terms differs under the dense ones, a long one under the thin ones.
 DENSITIES, EACH = tuple(4.0**-k for k in range(7)), 16
-_TERM = re.compile(r"[^\W_]+")
-_MEMORY = 300_000
-
-
-class Terms(dict):
-    """White-space-free chunk (bytes) to the hashes of its terms (lower-case runs of letters and digits), as little-endian uint64 bytes."""
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        got = np.array([xxhash.xxh3_64_intdigest(t) for t in _TERM.findall(chunk.decode().lower())], "<u8").tobytes()
-        if len(self) >= _MEMORY:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = got
-        return got
-
-    def of(self, text: str | None) -> np.ndarray:
-        """A text's distinct terms, sorted."""
-        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode().split())), "<u8"))
-
-
-_terms = Terms()
+#: Bytes of text that are split into terms at once.
+CHUNK = 1 << 20
+
+# Terms are runs of ASCII letters and digits, and of everything beyond ASCII, of the text in lower case.
+_IN_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_VALUES = mix64(np.arange(256, dtype=np.uint64), 21)
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> np.ndarray:
+    """_FACTOR ** 0, 1, ... modulo 2 ** 64."""
+    out = np.full(max(1, n), _FACTOR, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each term of data starts, and its hash: a polynomial of its bytes, mixed with its length."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = _IN_TERM[codes]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    length = end - start
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    sums = np.add.reduceat(_VALUES[codes[inside]] * _powers(int(length.max()))[place], first)
+    return start, mix64(sums ^ mix64(length.astype(np.uint64), 3))
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """data in pieces of about CHUNK bytes, cut at white space; a longer run without any stays whole."""
+    while len(data) > CHUNK:
+        cut = data.rfind(b" ", 0, CHUNK)
+        cut = data.find(b" ", CHUNK) if cut <= 0 else cut
+        if cut <= 0:
+            break
+        yield data[:cut]
+        data = data[cut:]
+    yield data
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def terms_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Each text's distinct terms, sorted, as 64-bit hashes."""
+    out, held, size = [], [], 0
+
+    def flush() -> None:
+        start, found = _hashes(b" ".join(held))
+        ends = np.cumsum([len(d) + 1 for d in held])
+        out.extend(map(distinct, np.split(found, np.searchsorted(start, ends[:-1]))))
+        held.clear()
+
+    for text in texts:
+        data = (text or "").lower().encode()
+        if held and size + len(data) > CHUNK:
+            flush()
+            size = 0
+        if len(data) > CHUNK:
+            out.append(distinct(np.concatenate([distinct(_hashes(p)[1]) for p in _pieces(data)])))
+        else:
+            held.append(data)
+            size += len(data)
+    if held:
+        flush()
+    return out
 
 
 def text_hash() -> Column:
-    return F.md5(F.coalesce("text", F.lit("")))
-
-
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) over all different texts; each task sums what its texts have before anything is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def summed() -> pa.RecordBatch:
-            terms, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], ["term", "n"])
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                held.append(_terms.of(text))
-                n += len(held[-1])
-                if n >= 6_000_000:
-                    yield summed()
-                    n = 0
-        if held:
-            yield summed()
-
-    texts = docs.select("text").groupBy(text_hash()).agg(F.first("text").alias("text"))
-    return texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def in_band(docs: DataFrame) -> Column:
@@ -77,65 +101,60 @@ def in_band(docs: DataFrame) -> Column:
     return F.col("df").between(LEAST_DOCS, max(LEAST_DOCS, int(MOST_SHARE * docs.select(text_hash()).distinct().count())))
 
 
-def lexicon(docs: DataFrame) -> np.ndarray:
-    """The sorted hashes of all terms that fingerprints are made of, on the driver; compare_with_next() does without."""
-    rows = document_frequencies(docs).where(in_band(docs)).select("term").toArrow()
-    return np.sort(rows.column("term").to_numpy().view(np.uint64))
-
-
 #: For each series of subsets (rows) and density (columns), up to which hash a term belongs to the subset. A series' thin
 #: subsets are parts of its dense ones; the densest leave out 0 to 15 thirty-seconds of the lexicon.
 _LIMITS = np.array([[min(int((d if d < 1 else 1 - k / 32) * 2**64), 2**64 - 1) for d in DENSITIES] for k in range(EACH)], np.uint64)
 _SALTS = mix64(np.arange(EACH, dtype=np.uint64), 5)
 
 
-def fingerprint(text: str | None, words: np.ndarray) -> str:
-    """Four hex digits for each lexicon subset, by density: a hash of the terms of the text that it holds, or 0000 if none.
-    Then the same over all terms of the text, in the lexicon or not.
+def codes(kept: list[np.ndarray]) -> np.ndarray:
+    """For each text, density and series, the hash (1 to 65535) of the text's terms in that subset, or 0 if it has none.
 
-    The distinct terms are sorted, and the hash of some is the sum of their hashes, mixed; equal sets alone give equal sums.
+    kept: each text's distinct lexicon terms, sorted. The hash takes them in this order: each is mixed with its place in the
+    subset, and the sum of these is mixed.
     """
-    terms = _terms.of(text)
-    kept = np.zeros(len(terms), bool)
-    if len(words) and len(terms):
-        at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
-        kept = words[at] == terms
-    own, most = mix64(terms, 9), len(DENSITIES) + 1
-    halves = [(own & np.uint64(0xFFFFFFFF)).astype(float), (own >> np.uint64(32)).astype(float)]  # sums of few million are exact
-    sums, counts = np.zeros((2, EACH, most), np.uint64), np.zeros((2, EACH, most), np.int64)
-    step = 1 << 14  # a very long text takes a few terms at once
-    for first in range(0, len(terms), step):
-        some, mine = slice(first, first + step), kept[first : first + step]
-        drawn = mix64(terms[None, some] ^ _SALTS[:, None])
-        level = np.zeros(drawn.shape, np.uint8)  # how many of the series' subsets, from the densest on, hold the term
+    out = np.zeros((len(kept), len(DENSITIES), EACH), np.uint16)
+    sizes = np.array([len(k) for k in kept])
+    terms, text = np.concatenate([np.zeros(0, np.uint64), *kept]), np.repeat(np.arange(len(kept)), sizes)
+    for s in range(EACH):
+        drawn, some, of = mix64(terms ^ _SALTS[s]), terms, text
         for k in range(len(DENSITIES)):
-            level += drawn <= _LIMITS[:, k, None]
-        place = level + most * np.arange(EACH)[:, None]
-        for i, pick in enumerate((np.flatnonzero(mine), slice(None))):
-            at = place[:, pick].ravel()
-            low, high = (np.bincount(at, np.tile(h[some][pick], EACH), EACH * most).astype(np.uint64).reshape(EACH, most) for h in halves)
-            sums[i] += low + (high << np.uint64(32))
-            counts[i] += np.bincount(at, minlength=EACH * most).reshape(EACH, most)
-    sums, counts = (np.cumsum(x[:, :, :0:-1], axis=2, dtype=x.dtype)[:, :, ::-1] for x in (sums, counts))
-    codes = np.where(counts > 0, mix64(sums) % np.uint64(65535) + np.uint64(1), np.uint64(0))
-    return codes.transpose(0, 2, 1).astype(">u2").tobytes().hex()
+            member = drawn <= _LIMITS[s, k]  # a series' thin subsets are parts of its dense ones
+            drawn, some, of = drawn[member], some[member], of[member]
+            if not len(some):
+                break
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            count = np.diff(np.r_[first, len(of)])
+            place = np.arange(len(of)) - np.repeat(first, count)
+            sums = np.add.reduceat(mix64(some + place.astype(np.uint64) * np.uint64(_FACTOR)), first)
+            out[of[first], k, s] = mix64(sums ^ count.astype(np.uint64)) % np.uint64(65535) + np.uint64(1)
+    return out
+
+
+def fingerprints(kept: list[np.ndarray]) -> list[str]:
+    """Four hex digits for each lexicon subset, by density."""
+    return [c.astype(">u2").tobytes().hex() for c in codes(kept)]
+
+
+def members(terms: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Those of the sorted terms that are among the sorted words."""
+    if not len(words) or not len(terms):
+        return terms[:0]
+    return terms[words[np.minimum(np.searchsorted(words, terms), len(words) - 1)] == terms]
 
 
 def likeness(a: str, b: str) -> float:
     """The share of subsets with equal hashes among those in which either text has a term, at the density where it is highest.
 
-    Both texts are taken by their lexicon terms, or by all terms if one of them has none in the lexicon. Dense subsets of a
-    long text differ after any edit, thin ones of a short text are empty; at the density that suits the texts, the share is
-    near that of their common terms. A density counts if four of its subsets have a term, and all subsets together do. Equal
-    fingerprints give 1.
+    Dense subsets of a long text differ after any edit, thin ones of a short text are empty; at the density that suits the
+    texts, the share is near that of their common terms. A density counts if four of its subsets have a term, and all subsets
+    together do. Equal fingerprints give 1, also those of two texts without lexicon terms.
     """
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(t.encode(), "S4").reshape(2, -1, EACH) for t in (a, b))
-    which = 0 if (x[0] != b"0000").any() and (y[0] != b"0000").any() else 1
-    x, y = x[which], y[which]
-    seen = ((x != b"0000") | (y != b"0000")).sum(axis=1)
-    same = ((x == y) & (x != b"0000")).sum(axis=1)
+    x, y = (np.frombuffer(bytes.fromhex(t), ">u2").reshape(-1, EACH) for t in (a, b))
+    seen = ((x != 0) | (y != 0)).sum(axis=1)
+    same = ((x == y) & (x != 0)).sum(axis=1)
     return float(max([same.sum() / max(1, seen.sum()), *(same[seen >= 4] / seen[seen >= 4])]))
 
 
@@ -184,7 +203,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             own = np.searchsorted(bounds, np.array([-np.inf if i is None else i for i in b.column("doc_id").to_pylist()], float), "right")
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column("hash")], ["bucket", "hash"])
 
-    hashes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash")).mapInArrow(hashed, "bucket int, hash string").distinct()
+    hashes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash")).mapInArrow(hashed, "bucket int, hash long").distinct()
     copied = hashes.withColumn("first", F.min("bucket").over(Window.partitionBy("hash"))).where("bucket > first").select("bucket", "hash")
     return sent, copied
 
@@ -201,6 +220,19 @@ def in_order(bucket: pa.Table) -> Iterator[tuple[int, int | None, str]]:
         yield extra[i].as_py(), ids[i].as_py(), codec.decompress(data[i].as_py()).decode()
 
 
+def together(rows: Iterator[tuple[int, int | None, str]]) -> Iterator[list[tuple[int, int | None, str]]]:
+    """The rows in lists of about CHUNK characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def seams(text: str, following: str) -> list[bytes]:
     """The chunks of edited() that may be in neither text: the one at the cut and the last one."""
     half = len(text) // 2
@@ -222,29 +254,29 @@ def kept_terms(sent: DataFrame, copied: DataFrame, band: Column) -> DataFrame:
         if not bucket.num_rows:
             return fields.empty_table()
         at, held, odd, n, out, last = bucket.column("bucket")[0].as_py(), [], [], 0, [], None
-        known = {bytes.fromhex(h) for h in copied.column("hash").to_pylist()}
+        known = set(copied.column("hash").to_pylist())
 
         def summed() -> None:
-            terms, counts = np.unique(np.concatenate([np.zeros(0, "<u8"), *held]), return_counts=True)
-            more = np.setdiff1d(np.frombuffer(b"".join(odd), "<u8"), terms)
+            terms, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            more = np.setdiff1d(np.concatenate([np.zeros(0, np.uint64), *odd]), terms)
             held.clear()
             odd.clear()
             terms, counts = np.concatenate([terms, more]), np.concatenate([counts, np.zeros(len(more), np.int64)])
             out.append(pa.table([pa.array(np.full(len(terms), at, np.int32)), pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], schema=fields))
 
-        for extra, _, text in in_order(bucket):
-            if last is not None:
-                odd.extend(_terms[c] for c in seams(last, text))
-            last = text
-            own = _terms.of(text)
-            digest = hashlib.md5(text.encode(), usedforsecurity=False).digest()
-            if extra or digest in known:  # counted in its own bucket, or before
-                odd.append(own.tobytes())
-            else:
-                known.add(digest)
-                held.append(own)
-            n += len(own)
-            if n >= 6_000_000:
+        for some in together(in_order(bucket)):
+            texts = [text for _, _, text in some]
+            odd.extend(terms_of([b" ".join(seams(x, y)).decode() for x, y in zip([last, *texts], texts, strict=False) if x is not None]))
+            last = texts[-1]
+            for (extra, _, text), own in zip(some, terms_of(texts), strict=True):
+                digest = int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64))  # as Spark's xxhash64
+                if extra or digest in known:  # counted in its own bucket, or before
+                    odd.append(own)
+                else:
+                    known.add(digest)
+                    held.append(own)
+                n += len(own)
+            if n >= 4_000_000:
                 summed()
                 n = 0
         summed()
@@ -261,22 +293,23 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Documents follow each other by doc_id: null first, equal ids in order of their compressed texts; the first follows the
-    last, and a table of one row follows itself. Null text counts as empty; an empty text has the empty fingerprint (all
-    zeros), which is like itself alone; an empty table gives no row; other columns are ignored.
+    last, and a table of one row follows itself. Null text counts as empty; a text without lexicon terms, as an empty one, has
+    a fingerprint of zeros, which is like itself alone; an empty table gives no row; other columns are ignored.
     """
     sent, copied = with_next(docs)
     terms = kept_terms(sent, copied, in_band(docs))
 
     def run(bucket: pa.Table, kept: pa.Table) -> pa.Table:
-        words, before, rows = np.unique(kept.column("term").to_numpy().view(np.uint64)), None, []
-        for extra, doc_id, text in in_order(bucket) if bucket.num_rows else ():
-            own = fingerprint(text, words)
-            if before is not None:
-                last_id, last, last_own = before
-                changed = edited(last, text)
-                other = fingerprint(changed, words)
-                rows.append((last_id, len(last), hashlib.sha256(changed.encode()).hexdigest(), last_own, other, likeness(last_own, other), likeness(last_own, own)))
-            before = None if extra else (doc_id, text, own)
+        words, before, rows = distinct(kept.column("term").to_numpy().view(np.uint64)), None, []
+        for some in together(in_order(bucket)) if bucket.num_rows else ():
+            texts = [text for _, _, text in some]
+            own = fingerprints([members(t, words) for t in terms_of(texts)])
+            line = [*([before] if before else []), *((doc_id, text, f) for (_, doc_id, text), f in zip(some, own, strict=True))]
+            changed = [edited(x[1], y[1]) for x, y in zip(line, line[1:], strict=False)]
+            others = fingerprints([members(t, words) for t in terms_of(changed)])
+            for (doc_id, text, mine), (_, _, following), new, other in zip(line, line[1:], changed, others, strict=False):
+                rows.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), mine, other, likeness(mine, other), likeness(mine, following)))
+            before = line[-1]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS) if rows else _FIELDS.empty_table()
 
     both = sent.groupBy("bucket").cogroup(terms.groupBy("bucket"))

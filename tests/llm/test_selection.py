@@ -202,7 +202,11 @@ def test_every_id_survives_and_each_file_is_read_by_a_task_of_its_own(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = tokenbin.token_files(docs, public_vocabulary()).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, -(1 << 63), *range(300), (1 << 63) - 1]
-    manifest = tokenbin.write_tokens(docs, public_vocabulary(), 2, f"{scratch(spark, 'tokens')}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokenbin.write_tokens(docs, public_vocabulary(), 2, scratch(spark, "tokens"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() > 1 and tokenbin.read_digests(manifest).rdd.getNumPartitions() == manifest.count()
 
 

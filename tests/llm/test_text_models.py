@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,9 +143,7 @@ def test_rules_against_a_plain_version(spark):
 
 def plain_verdicts(rows):
     """Scores of the URLs without a rule, by loops: words of all pages, Viterbi, naive Bayes over places."""
-    import re
     import zlib
-    from collections import Counter
 
     import regex
 
@@ -225,57 +225,109 @@ def test_viterbi_against_all_splits():
 # Fingerprints
 
 
-def test_next_document_and_edits(spark):
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x, salt=0):
+    x = (x + salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & MASK
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
+    return x ^ x >> 31
+
+
+def plain_terms(text):
+    """Term to hash, by loops."""
+    out = {}
+    for w in re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").lower()):
+        codes = w.encode()
+        total = sum(plain_mix(c, 21) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(codes)) & MASK
+        out[w] = plain_mix(total ^ plain_mix(len(codes), 3))
+    return out
+
+
+def plain_lexicon(texts, least=3, most=0.5):
+    different = set(t or "" for t in texts)
+    df = Counter(w for t in different for w in plain_terms(t))
+    return {w for w, n in df.items() if least <= n <= max(least, int(most * len(different)))}
+
+
+def plain_fingerprint(text, lexicon):
+    hashes = sorted(h for w, h in plain_terms(text).items() if w in lexicon)
+    out = ""
+    for k in range(7):
+        for s in range(16):
+            limit = min(int((4.0**-k if k else 1 - s / 32) * 2**64), MASK)
+            some = [h for h in hashes if plain_mix(h ^ plain_mix(s, 5)) <= limit]
+            total = sum(plain_mix((h + i * 0x9E3779B97F4A7C15) & MASK) for i, h in enumerate(some)) & MASK
+            out += f"{plain_mix(total ^ len(some)) % 65535 + 1 if some else 0:04x}"
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    rows = [[(a[4 * (16 * k + s) :][:4], b[4 * (16 * k + s) :][:4]) for s in range(16)] for k in range(7)]
+    seen = [sum(p != ("0000", "0000") for p in r) for r in rows]
+    same = [sum(x == y != "0000" for x, y in r) for r in rows]
+    return max([sum(same) / max(1, sum(seen)), *(m / n for m, n in zip(same, seen, strict=True) if n >= 4)])
+
+
+def test_fingerprints_against_plain_loops(spark):
     rng = random.Random(5)
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"w{i % 9}", f"é{i % 5}", "😀x"]) for _ in range(rng.randint(0, 60))) for i in range(60)]
-    rows = [(3 * i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, texts[0]), (503, texts[0])]
+    texts = [" ".join(rng.choice(["Alpha", "beta,", "gamma", "del-ta", f"w{i % 9}", f"É{i % 5}", "😀x", f"own{i}"]) for _ in range(rng.randint(0, 60))) for i in range(60)]
+    rows = [(3 * i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, texts[0]), (503, texts[0]), (504, "?! --"), (505, "never seen"), (506, "x" * 3000 + " gamma")]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, fingerprint string")
     got = {r["doc_id"]: r for r in imatch.compare_with_next(docs).collect()}
     order = sorted((i, t or "") for i, t in rows)
     assert len(got) == len(order)
-    words = imatch.lexicon(docs)
+    words = plain_lexicon([t for _, t in rows])
     for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        r = got[i]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert r["fingerprint"] == imatch.fingerprint(t, words) and r["edited_fingerprint"] == imatch.fingerprint(e, words)
-        assert r["near_next"] == imatch.likeness(r["fingerprint"], imatch.fingerprint(n, words)) and (t != n or r["near_next"] == 1)
+        mine, other, following = (plain_fingerprint(x, words) for x in (t, e, n))
+        want = (len(t), hashlib.sha256(e.encode()).hexdigest(), mine, other, plain_likeness(mine, other), plain_likeness(mine, following))
+        assert tuple(got[i])[1:] == want
     assert got[502]["near_next"] == 1.0
     assert imatch.compare_with_next(docs.limit(0)).count() == 0
     alone = imatch.compare_with_next(docs.where("doc_id = 3")).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+def test_repeated_and_missing_ids(spark):
+    rows = [(None, "a b c d"), (None, "e f g h"), (7, "a b c e"), (7, "a b c e"), (8, None)] * 3
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int")
+    got = imatch.compare_with_next(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 6, 7: 6, 8: 3}
+    assert Counter(r["n_chars"] for r in got) == {7: 12, 0: 3}
+
+
 def test_all_terms_of_the_band_take_part(spark):
     rows = [(i, " ".join(f"k{1000 * (i // 3) + j}" for j in range(1000)) + f" d{i}") for i in range(210)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    words = imatch.lexicon(docs)
+    words = plain_lexicon([t for _, t in rows])
     assert len(words) == 70_000
     got = {r["doc_id"]: r for r in imatch.compare_with_next(docs).collect()}
-    assert len(got) == 210 and all(got[i]["fingerprint"] == imatch.fingerprint(t, words) for i, t in rows[::15])
+    assert len(got) == 210 and all(got[i]["fingerprint"] == plain_fingerprint(t, words) for i, t in rows[::30])
 
 
 def test_copies_count_once_and_an_edit_is_like_its_text(spark):
     rng = random.Random(11)
     hot = " ".join(f"hot{i}" for i in range(200))
     texts = [hot if i % 2 else " ".join(f"t{rng.randrange(400)}" for _ in range(200)) for i in range(200)]
-    shared = [f"{hot} end{i}" for i in range(2)]
-    texts += shared
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    df = {r["df"] for r in imatch.document_frequencies(docs.where("doc_id % 2 = 1 and doc_id < 200")).collect()}
-    assert df == {1}
-    got = {r["doc_id"]: r for r in imatch.compare_with_next(docs).collect()}
-    words = imatch.lexicon(docs)
-    assert all(got[i]["fingerprint"] == imatch.fingerprint(t, words) for i, t in enumerate(texts))
+    texts += [f"{hot} end{i}" for i in range(2)]
+    got = {r["doc_id"]: r for r in imatch.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    words = plain_lexicon(texts)
+    assert "hot1" in words and all(got[i]["fingerprint"] == plain_fingerprint(t, words) for i, t in list(enumerate(texts))[::20])
     assert min(got[i]["near_edited"] for i in range(1, 199, 2)) > 0.1
 
 
-def test_text_without_lexicon_terms_is_like_its_edit():
-    words = np.sort(imatch._terms.of(" ".join(f"lex{i}" for i in range(50))))
-    text, following = (" ".join(f"{w}{i}" for i in range(50)) for w in ("own", "lex"))
-    a, b = imatch.fingerprint(text, words), imatch.fingerprint(imatch.edited(text, following), words)
-    assert imatch.likeness(a, b) > 0.1 and imatch.likeness(a, imatch.fingerprint(following, words)) == 0
+def test_very_long_texts_and_pieces(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"t{rng.randrange(10**4)}" for _ in range(3000)), "z" * 5000, "", "a b", " ".join(["y" * 400] * 9)]
+    want = [sorted(plain_terms(t).values()) for t in texts]
+    assert [t.tolist() for t in imatch.terms_of(texts)] == want
+    monkeypatch.setattr(imatch, "CHUNK", 1000)
+    assert [t.tolist() for t in imatch.terms_of(texts)] == want
 
 
 def test_seams_are_the_new_chunks_of_an_edit():
@@ -286,17 +338,11 @@ def test_seams_are_the_new_chunks_of_an_edit():
         assert {*imatch.edited(a, b).encode().split()} - old <= {*imatch.seams(a, b)}
 
 
-def test_document_frequencies_against_sets(spark):
-    texts = ["a b b c", "b c", None, "", "c C."]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert sorted(r["df"] for r in imatch.document_frequencies(docs).collect()) == [1, 2, 3]
-
-
 def test_likeness_follows_common_terms():
     rng = random.Random(1)
     words = [f"word{i}" for i in range(2000)]
     base = rng.sample(words, 300)
-    of = lambda ws: imatch.fingerprint(" ".join(ws), np.zeros(0, np.uint64))
+    of = lambda ws: imatch.fingerprints(imatch.terms_of([" ".join(ws)]))[0]
     near, half, far = base[:290] + words[:10], base[:150] + rng.sample(words, 150), [f"x{i}" for i in range(300)]
     a, b, c = (imatch.likeness(of(base), of(x)) for x in (near, half, far))
     assert a > b > c == 0 and of(base) == of(base[::-1] + base)
