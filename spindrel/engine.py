@@ -13,6 +13,7 @@ from .operators.search import SearchRequest, SearchResponse, count, search
 from .operators.suggest import Suggestion, suggest
 from .plans.ast import Query
 from .sources.catalog import Catalog
+from .sources.files import Folder
 from .sources.index import Index
 from .sources.store import BulkResult, DocumentStore
 from .streaming.changes import ChangeFeed
@@ -40,6 +41,13 @@ class SearchEngine:
     def catalog(self) -> dict:
         return self._catalog.state()
 
+    def analyzers(self, mapping: IndexMapping) -> Registry:
+        """The built-in analyzers, the mapping's synonyms, and what has been registered."""
+        found = Registry(mapping.synonyms)
+        for n, a in self._analyzers.items():
+            found.register(n, a)
+        return found
+
     def register_analyzer(self, name: str, analyzer: Analyzer) -> None:
         self._analyzers[name] = analyzer
 
@@ -55,7 +63,7 @@ class SearchEngine:
 
     def feed(self, name: str) -> ChangeFeed:
         store = self.store(name)
-        return ChangeFeed(store, f"{store.uri}/index", f"{store.uri}/checkpoint")
+        return ChangeFeed(store, f"{store.uri}/index", f"{store.uri}/checkpoint", analyzers=self.analyzers(store.mapping))
 
     def refresh(self, name: str) -> None:
         """Makes all that was written before visible to searches from now on."""
@@ -64,17 +72,12 @@ class SearchEngine:
     def index(self, name: str) -> Index:
         """The newest generation."""
         mapping = self._catalog.mapping(name)
-        analyzers = Registry(mapping.synonyms)
-        for n, a in self._analyzers.items():
-            analyzers.register(n, a)
-        from .sources.files import Folder
-
         uri = f"{self.uri}/{mapping.name}/index"
         newest = max(Folder(self.spark, uri).versions(), default=0)
         key = (mapping.name, newest)
         if key not in self._loaded:
             self._loaded = {k: v for k, v in self._loaded.items() if k[0] != mapping.name}
-            self._loaded[key] = Index.load(self.spark, uri, mapping, newest, analyzers)
+            self._loaded[key] = Index.load(self.spark, uri, mapping, newest, self.analyzers(mapping))
         return self._loaded[key]
 
     def search(self, name: str, request: SearchRequest, principals: list[str] | None = None) -> SearchResponse:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 import regex
@@ -46,7 +46,7 @@ def folding_table() -> tuple[str, str]:
     return "".join(one) + "".join(gone), "".join(one.values())
 
 
-@cache
+@lru_cache(1 << 18)
 def _stem(word: str) -> str:
     return stem(word) or word
 
@@ -55,7 +55,7 @@ _TOKENS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.Str
 
 
 def _stemmed(synonyms: dict[str, list[str]]) -> Callable[[Column], Column]:
-    """Stems of a document's tokens, after their synonyms; each worker remembers the stems it has seen."""
+    """Stems of a document's tokens, after their synonyms; each worker remembers some of the stems it has seen."""
 
     @F.pandas_udf(_TOKENS)
     def run(tokens: pd.Series) -> pd.Series:
@@ -123,7 +123,8 @@ class Analyzer:
         change = lambda f: F.transform(found, lambda t: F.struct(f(t["term"]).alias("term"), t["pos"].alias("pos")))
         if self.lower or self.folding:
             low = (lambda x: F.lower(x)) if self.lower else (lambda x: x)
-            found = change((lambda x: F.translate(low(x), *folding_table())) if self.folding else low)
+            folded = lambda x: F.when(F.octet_length(x) > F.length(x), F.translate(x, *folding_table())).otherwise(x)  # noqa: E731  most words are ASCII
+            found = change((lambda x: folded(low(x))) if self.folding else low)
         if self.stop:
             found = F.filter(found, lambda t: ~t["term"].isin(*STOPWORDS))
         if self.stems:
@@ -167,5 +168,3 @@ def exploded(df: DataFrame, text: str, analyzer: Analyzer, *keep: str) -> DataFr
     """A row for each token: keep, term, pos."""
     return df.select(*keep, F.explode(analyzer.column(F.col(text))).alias("t")).select(*keep, F.col("t.term").alias("term"), F.col("t.pos").alias("pos"))
 
-
-AnalyzerFactory = Callable[[], Analyzer]

@@ -146,10 +146,15 @@ def page(index: Index, found: DataFrame, request: SearchRequest) -> DataFrame:
 
 
 def fetched(index: Index, rows: DataFrame, request: SearchRequest) -> DataFrame:
-    """A page's rows with stored fields; only the page's documents are read."""
+    """A page's rows with stored fields. The page's ids are known first, so that the scan of the documents, which lie in
+    ranges of their ids, skips all row groups without one of them."""
+    found = rows.collect()  # a page
+    index.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(DEEPEST))
+    rows = index.spark.createDataFrame(found, rows.schema)
     stored = [f.name for f in index.mapping.fields if f.stored and f.name in index.docs.columns and (request.fields is None or f.name in request.fields)]
     wanted = [f for f in (request.highlight.fields if request.highlight else ()) if f in index.docs.columns and f not in stored]
-    return index.docs.select("doc_id", "shard_id", *stored, *wanted).join(F.broadcast(rows), "doc_id").orderBy(*ordering(request.order))
+    docs = index.docs.where(F.col("doc_id").isin([r["doc_id"] for r in found]))
+    return docs.select("doc_id", "shard_id", *stored, *wanted).join(F.broadcast(rows), "doc_id").orderBy(*ordering(request.order))
 
 
 def search(index: Index, request: SearchRequest, principals: list[str] | None = None) -> SearchResponse:

@@ -4,18 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..mapping import FieldMapping, FieldType, IndexMapping
+from ..mapping import IndexMapping, from_dict, to_dict
 from .files import Conflict, Folder
 
 
-def to_dict(m: IndexMapping) -> dict:
-    return {"name": m.name, "shards": m.shards, "replicas": m.replicas, "default": m.default, "synonyms": list(m.synonyms), "fields": [f.__dict__ | {"type": f.type.value} for f in m.fields]}
-
-
-def from_dict(d: dict) -> IndexMapping:
-    return IndexMapping(d["name"], tuple(FieldMapping(**(f | {"type": FieldType(f["type"])})) for f in d["fields"]), d["shards"], d["replicas"], d["default"], tuple(d["synonyms"]))
-
-
 class Catalog:
     """Changes are read, applied and committed as the next version; where another writer was first, once more."""
 

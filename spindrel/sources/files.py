@@ -33,6 +33,23 @@ class Folder:
         finally:
             stream.close()
 
+    def delete(self, name: str) -> None:
+        """A file or folder below this one."""
+        self.fs.delete(self.path(f"{self.uri}/{name}"), True)
+
+    def take(self) -> int:
+        """A number that no other writer gets, above all taken before. The files of some last numbers stay."""
+        while True:
+            found = self.versions()
+            version = max(found, default=0) + 1
+            try:
+                self.commit(version, {})
+            except Conflict:
+                continue
+            for old in found[:-8]:
+                self.fs.delete(self.path(self._name(old)), False)
+            return version
+
     def commit(self, version: int, content: dict) -> None:
         own = self.path(f"{self.uri}/tmp-{uuid.uuid4().hex}")
         stream = self.fs.create(own, False)

@@ -1,9 +1,14 @@
-"""Index tables: built from documents, written as one immutable generation, loaded by its manifest.
+"""Index tables: built from documents, written as immutable segments, found by the manifest of a generation.
 
 postings  field, term, doc_id, shard_id, tf, len, positions: a row for each term of a document's field, with the field's length
-terms     field, term, df: the dictionary
-stats     field, shard_id, doc_count, sum_len; the row with a null field counts all documents of a shard
 docs      doc_id, shard_id, acl, the stored values, and for sorts, ranges and facets <field>__num or <field>__kw
+changed   doc_id, version, seq, deleted: what a segment says of documents, deleted ones too
+terms     field, term, df: the dictionary, over all segments
+stats     field, shard_id, doc_count, sum_len; the row with a null field counts all documents of a shard; over all segments
+
+A segment holds the documents that one publication changed. Where a later segment names a document, earlier ones no longer
+count for it. Postings lie in ranges of (field, term, doc_id), so that the documents of one term spread over files and tasks;
+docs lie in ranges of doc_id, so that a page reads few row groups.
 """
 
 from __future__ import annotations
@@ -19,11 +24,23 @@ from pyspark.sql import types as T
 
 from ..functions.analysis import Registry
 from ..functions.hashing import shard_of
-from ..mapping import FieldMapping, FieldType, IndexMapping, number_form, number_text, term_form, typed
+from ..mapping import FieldMapping, FieldType, IndexMapping, number_form, number_text, term_form, to_dict, typed
 from .files import Folder
 
 #: Positions between the values of a text field with several.
 GAP = 100
+#: The version of what is written.
+FORMAT = 2
+CHANGED = "doc_id string, version long, seq long, deleted boolean"
+
+
+def fingerprint(mapping: IndexMapping) -> str:
+    """What an index must agree on with the mapping that it is read by."""
+    return json.dumps(to_dict(mapping), sort_keys=True)
+
+
+def sums(rows: list[DataFrame], keys: list[str], values: list[str], kept: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values)).where(f"{kept} > 0")
 
 
 @dataclass
@@ -34,6 +51,8 @@ class Index:
     terms: DataFrame
     stats: DataFrame
     docs: DataFrame
+    #: Where the postings have been written already, in their order.
+    home: str | None = None
     #: Statistics that queries have looked up; an index never changes.
     memo: dict = field(default_factory=dict, repr=False)
 
@@ -41,24 +60,56 @@ class Index:
     def spark(self) -> SparkSession:
         return self.docs.sparkSession
 
-    def save(self, uri: str, token: str = "") -> int:
-        """Writes the tables as a new generation and then its manifest; returns the generation. An older generation never
-        replaces a newer one, since a manifest's name is taken once."""
-        folder = Folder(self.spark, uri)
-        generation, data = max(folder.versions(), default=0) + 1, f"{uri}/data/{uuid.uuid4().hex}"
-        for name in ("postings", "terms"):
-            self._table(name).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{data}/{name}")
-        for name in ("stats", "docs"):
-            self._table(name).write.parquet(f"{data}/{name}")
-        folder.commit(generation, {"index": self.mapping.name, "generation": generation, "data": data, "token": token, "doc_count": self.docs.count()})
+    def _segment(self, data: str, changed: DataFrame | None) -> dict:
+        """Writes this index's documents as a segment; returns its paths."""
+        if not self.home:
+            placed(self.postings).write.parquet(f"{data}/postings")
+        self.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{data}/docs")
+        rows = self.docs.select("doc_id", F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"), F.lit(False).alias("deleted")) if changed is None else changed
+        rows.write.parquet(f"{data}/changed")
+        return {"postings": self.home or f"{data}/postings", "docs": f"{data}/docs", "changed": f"{data}/changed"}
+
+    @staticmethod
+    def _commit(folder: Folder, mapping: IndexMapping, data: str, terms: DataFrame, stats: DataFrame, segments: list[dict], token: str) -> int:
+        terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{data}/terms")
+        stats.coalesce(1).write.parquet(f"{data}/stats")  # a row for each field and shard
+        generation = max(folder.versions(), default=0) + 1
+        folder.commit(generation, {"format": FORMAT, "index": mapping.name, "mapping": fingerprint(mapping), "generation": generation, "segments": segments, "terms": f"{data}/terms", "stats": f"{data}/stats", "token": token})
         return generation
 
-    def _table(self, name: str) -> DataFrame:
-        return getattr(self, name)
+    def save(self, uri: str, token: str = "", changed: DataFrame | None = None) -> int:
+        """Writes the index as one segment, and a new generation of it; returns its number. An older generation never
+        replaces a newer one, since a manifest's name is taken once."""
+        folder, data = Folder(self.spark, uri), f"{uri}/data/{uuid.uuid4().hex}"
+        segment = self._segment(data, changed)
+        return self._commit(folder, self.mapping, data, self.terms, self.stats, [segment], token)
+
+    def append(self, uri: str, changed: DataFrame, token: str = "") -> int:
+        """Adds this index of changed documents to the newest generation. What was there of these documents is taken off the
+        dictionary and the statistics; neither postings nor documents are written again."""
+        folder, data = Folder(self.spark, uri), f"{uri}/data/{uuid.uuid4().hex}"
+        m = folder.manifest(max(folder.versions()))
+        old = Index.load(self.spark, uri, self.mapping, m["generation"], self.analyzers)
+        segment = self._segment(data, changed)
+        ids = self.spark.read.schema(CHANGED).parquet(segment["changed"]).select("doc_id")
+        gone, gone_docs = old.postings.join(ids, "doc_id", "left_semi"), old.docs.select("doc_id", "shard_id").join(ids, "doc_id", "left_semi")
+        less = lambda df, *names: df.select(*(c for c in df.columns if c not in names), *((-F.col(c)).alias(c) for c in names))
+        terms = sums([old.terms, self.terms, less(dictionary(gone), "df")], ["field", "term"], ["df"], "df")
+        stats = sums([old.stats, self.stats, less(statistics(gone, gone_docs), "doc_count", "sum_len")], ["field", "shard_id"], ["doc_count", "sum_len"], "doc_count")
+        return self._commit(folder, self.mapping, data, terms, stats, [*m["segments"], segment], token)
+
+    @staticmethod
+    def known(spark: SparkSession, uri: str) -> tuple[DataFrame, int]:
+        """(doc_id, version, seq) of the newest that the newest generation has seen of each document, and its segments."""
+        folder = Folder(spark, uri)
+        segments = folder.manifest(max(folder.versions()))["segments"]
+        rows = spark.read.schema(CHANGED).parquet(*(s["changed"] for s in segments))
+        newest = rows.groupBy("doc_id").agg(F.max(F.struct("version", "seq")).alias("v"))
+        return newest.select("doc_id", "v.version", "v.seq"), len(segments)
 
     @classmethod
     def load(cls, spark: SparkSession, uri: str, mapping: IndexMapping, generation: int | None = None, analyzers: Registry | None = None) -> Index:
-        """The newest generation, or the one named."""
+        """The newest generation, or the one named. It must be of this format and mapping."""
         folder = Folder(spark, uri)
         found = folder.versions()
         if not found or generation is not None and generation not in found:
@@ -66,8 +117,20 @@ class Index:
         m = folder.manifest(max(found) if generation is None else generation)
         if m["index"] != mapping.name:
             raise ValueError(f"{uri} holds index {m['index']!r}, not {mapping.name!r}")
-        tables = [spark.read.parquet(f"{m['data']}/{n}") for n in ("postings", "terms", "stats", "docs")]
-        return cls(mapping, analyzers or Registry(mapping.synonyms), *tables)
+        if m.get("format") != FORMAT:
+            raise ValueError(f"{uri} is of format {m.get('format')}, not {FORMAT}")
+        if m["mapping"] != fingerprint(mapping):
+            raise ValueError(f"{uri} was built with another mapping")
+
+        def whole(name: str) -> DataFrame:
+            parts = []
+            for i, s in enumerate(m["segments"]):
+                later = [x["changed"] for x in m["segments"][i + 1 :]]
+                df = spark.read.parquet(s[name])
+                parts.append(df.join(spark.read.schema(CHANGED).parquet(*later).select("doc_id"), "doc_id", "left_anti").select(*df.columns) if later else df)
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+        return cls(mapping, analyzers or Registry(mapping.synonyms), whole("postings"), spark.read.parquet(m["terms"]), spark.read.parquet(m["stats"]), whole("docs"))
 
     def cached(self) -> Index:
         for t in (self.postings, self.terms, self.stats, self.docs):
@@ -75,6 +138,21 @@ class Index:
         return self
 
 
+def placed(postings: DataFrame) -> DataFrame:
+    return postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
+
+
+def dictionary(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
+def statistics(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of each term of a document's field the length is known; the first position's or, without positions, any one counts."""
+    lengths = postings.select("field", "shard_id", "doc_id", "len").distinct().groupBy("field", "shard_id").agg(F.count("*").alias("doc_count"), F.sum("len").alias("sum_len"))
+    everything = docs.groupBy("shard_id").agg(F.count("*").alias("doc_count")).select(F.lit(None).cast("string").alias("field"), "shard_id", "doc_count", F.lit(0).cast("long").alias("sum_len"))
+    return lengths.unionByName(everything)
+
+
 def _is_array(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.ArrayType)
 
@@ -108,16 +186,19 @@ def value_tokens(docs: DataFrame, f: FieldMapping) -> DataFrame:
     return found.select("doc_id", "shard_id", F.size("ts").alias("len"), F.posexplode("ts").alias("pos", "term")).select("doc_id", "shard_id", "len", "term", "pos")
 
 
-def build(docs: DataFrame, mapping: IndexMapping, analyzers: Registry | None = None, path: str | None = None) -> Index:
-    """Index tables of docs: doc_id, the mapped fields (values or arrays), and perhaps acl (array of groups) and routing.
+def build(docs: DataFrame, mapping: IndexMapping, analyzers: Registry | None = None, path: str | None = None, routed: bool = False) -> Index:
+    """Index tables of docs: doc_id, the mapped fields (values or arrays), and perhaps acl (array of groups) and routing, or
+    shard_id if they are routed already.
 
-    With a path, the postings are written there, sorted by field and term, and the rest is derived from what was written.
+    Documents are dealt by id before they are analysed, so that their tokens are summed up where they are made. With a path,
+    the postings are written there, first as they come and then in their order, so texts are analysed once; the rest is
+    derived from what was written.
     """
     analyzers = analyzers or Registry(mapping.synonyms)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     docs = docs if "acl" in docs.columns else docs.withColumn("acl", F.array().cast("array<string>"))
     key = F.coalesce("routing", "doc_id") if "routing" in docs.columns else F.col("doc_id")
-    docs = docs.withColumn("shard_id", shard_of(key, mapping.shards))
+    docs = (docs if routed else docs.withColumn("shard_id", shard_of(key, mapping.shards))).repartition("doc_id")
     mapped = [f for f in mapping.fields if f.name in docs.columns]
 
     def field_postings(f: FieldMapping) -> DataFrame:
@@ -126,12 +207,14 @@ def build(docs: DataFrame, mapping: IndexMapping, analyzers: Registry | None = N
         return tokens.groupBy("doc_id", "shard_id", "len", "term").agg(F.count("*").cast("int").alias("tf"), positions.alias("positions")).select(F.lit(f.name).alias("field"), "term", "doc_id", "shard_id", "tf", "len", "positions")
 
     postings = reduce(DataFrame.unionByName, map(field_postings, mapped))
-    if path:
-        postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/postings")
-        postings = docs.sparkSession.read.parquet(f"{path}/postings")
-    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    lengths = postings.select("field", "shard_id", "doc_id", "len").distinct().groupBy("field", "shard_id").agg(F.count("*").alias("doc_count"), F.sum("len").alias("sum_len"))
-    everything = docs.groupBy("shard_id").agg(F.count("*").alias("doc_count")).select(F.lit(None).cast("string").alias("field"), "shard_id", "doc_count", F.lit(0).cast("long").alias("sum_len"))
+    home = f"{path}/postings" if path else None
+    if home:
+        spark, raw = docs.sparkSession, f"{path}/raw"
+        postings.write.parquet(raw)
+        placed(spark.read.parquet(raw)).write.parquet(home)
+        postings = spark.read.parquet(home)
+        Folder(spark, path).delete("raw")
+    stats = statistics(postings, docs.select("doc_id", "shard_id"))
 
     columns = ["doc_id", "shard_id", "acl"]
     for f in mapped:
@@ -144,7 +227,7 @@ def build(docs: DataFrame, mapping: IndexMapping, analyzers: Registry | None = N
         elif f.doc_values:
             columns.append(values.cast("array<string>").alias(f"{f.name}__kw"))
     table = docs.select(*columns)
-    return Index(mapping, analyzers, postings, terms, lengths.unionByName(everything), table)
+    return Index(mapping, analyzers, postings, dictionary(postings), stats, table, home)
 
 
 __all__ = ["Index", "build", "number_text"]
