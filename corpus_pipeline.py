@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality isn't rejected; the classifier learns from labels of documents that are in docs."""
+    """Documents whose quality isn't rejected; the classifier learns from labels of documents that are in docs.
+
+    A null or empty text is judged as the empty text; repeated rows and rows with equal or null ids are judged one by one;
+    an empty table gives an empty one, and without labels of both kinds all score alike; only the columns of documents stay.
+    """
     docs = docs.select(*COLUMNS)
     tuned(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -29,7 +33,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic."""
+    """Documents that don't score as toxic.
+
+    A null or empty text is judged as the empty text; repeated rows and rows with equal or null ids are judged one by one;
+    an empty table gives an empty one, and without a toxic label nothing is dropped; only the columns of documents stay.
+    """
     docs = docs.select(*COLUMNS)
     tuned(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -43,7 +51,8 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the row with the smallest id, one without id only if none
-    has any; rows without words stay. Rows are told apart by their numbers, not by their ids."""
+    has any; rows without words stay. Rows are told apart by their numbers, not by their ids; of repeated rows one stays; an
+    empty table gives an empty one."""
     tuned(spark)
     rows = numbered(docs, "rows")
     groups = jaccard.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), k=5, num=4, den=5)
@@ -54,7 +63,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as many times as the mix takes it."""
+    """Each row as many times as the mix takes it. Rows of equal or null ids are taken one by one; a null source is a source; rows
+    without words have no size and come as their places in the mix have it; an empty table gives an empty one."""
     tuned(spark)
     rows = numbered(docs, "rows")
     copies = mixing.mix(rows, carried="row").where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
@@ -63,7 +73,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces that fill windows of 2048 tokens."""
+    """The pieces that fill windows of 2048 tokens. A null text is its end id alone; rows of equal or null ids are packed one by
+    one; an empty table gives no piece."""
     tuned(spark)
     return packing.pack(docs, public_vocabulary(), capacity=2048, end_id=1)
 
