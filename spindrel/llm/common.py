@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One Arrow batch holds at most so many rows, so that a run of very long texts stays small in a Python worker.
 BATCH_ROWS = 512
@@ -83,6 +85,22 @@ def share(key: Column, keep: int, total: int) -> Column:
     return F.lit(True) if total <= keep else F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * keep / total)
 
 
+def with_scores(docs: DataFrame, scores: Callable[[list[str | None]], list[float] | np.ndarray]) -> DataFrame:
+    """docs with `score`, made of the column `text`. Other columns stay, whatever their names; an own column `score` is replaced."""
+    docs = docs.drop("score")
+    names, plain = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    text = plain[names.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array(scores(b.column(text).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, got], [*plain, "score"])
+
+    renamed = docs.toDF(*plain)
+    kind = T.StructType([*renamed.schema.fields, T.StructField("score", T.DoubleType())])
+    return renamed.mapInArrow(run, kind).toDF(*names, "score")
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """splitmix64's finaliser over uint64."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, fold, mix64, sigmoid
+from .common import Adam, fold, mix64, sigmoid, with_scores
 from .labels import training_texts
 
 #: Word slots (words share a slot by hash), vector length, non-zeros of an index vector, words to each side of a context.
@@ -22,7 +22,8 @@ SLOTS, DIM, NONZERO, REACH = 8192, 32, 2, 2
 MOST_LABELLED, HIDDEN = 12000, 32
 _PIECE = re.compile(r"[^\W_]+|[\W_]")
 _MEMORY = 300_000
-_BLOCK = 512
+#: Slots in a block of sums, and blocks that one group sums up.
+_BLOCK, FAN_IN = 512, 64
 
 
 class Slots(dict):
@@ -76,8 +77,8 @@ def add_contexts(total: np.ndarray, ids: np.ndarray, breaks: np.ndarray) -> None
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """SLOTS x DIM vectors, from the words of all documents.
 
-    A task sums what its texts add in one array, which it gives out in blocks of slots; blocks are summed in two rounds, so
-    that no task gathers the arrays of all tasks. The result has a fixed size, whatever the input.
+    A task sums what its texts add in one array, which it gives out in blocks of slots; blocks are summed FAN_IN at a time, in
+    as many rounds as the number of tasks needs. The result has a fixed size, whatever the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +107,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     kind = "block int, part int, sums binary"
     parts = docs.select("text").mapInArrow(run, kind)
-    some = parts.withColumn("part", (F.col("part") % 16).cast("int")).groupBy("block", "part").applyInArrow(add, kind)
+    tasks = docs.select("text").rdd.getNumPartitions()  # planned, not run
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(add, kind)
     out = np.zeros((SLOTS, DIM))
-    for r in some.groupBy("block").applyInArrow(add, kind).collect():  # SLOTS / _BLOCK rows
+    for r in parts.groupBy("block").applyInArrow(add, kind).collect():  # SLOTS / _BLOCK rows
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["sums"], "<f8").reshape(_BLOCK, DIM)
     out -= out.mean(axis=0) * (np.abs(out).sum(axis=1, keepdims=True) > 0)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -203,15 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score`, 0 to 1. Null text counts as empty; every other column stays, but an own column `score` is replaced."""
-    docs = docs.drop("score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([pooled(model.vectors, _slots.of(t)) for t in b.column("text").to_pylist()]).reshape(b.num_rows, 3 * DIM + 6)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x), pa.float64())], [*b.schema.names, "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return with_scores(docs, lambda texts: model.scores(np.array([pooled(model.vectors, _slots.of(t)) for t in texts]).reshape(len(texts), 3 * DIM + 6)))
 
 
 #: A text is good from this probability on.

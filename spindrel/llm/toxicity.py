@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, fold, sigmoid
+from .common import Adam, fold, sigmoid, with_scores
 from .labels import training_texts
 
 #: Bounds of the fitted sample and of the model.
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     MOST_UNLABELLED texts; with no toxic label at all the model scores every text alike, below 0.5.
     """
     known = labels.where(F.col("toxic").isNotNull() & (fold("doc_id") != 0)).agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first()
-    prior = min(0.5, max(0.001, known["prior"] or 0.0))
+    prior = min(0.95, max(0.001, known["prior"] or 0.0))
     texts = training_texts(docs, labels, "toxic", MOST_TOXIC, MOST_UNLABELLED, only=1)
 
     def all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score`, 0 to 1. Null text counts as empty; every other column stays, but an own column `score` is replaced."""
-    docs = docs.drop("score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = pa.array([model.score(t) for t in b.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return with_scores(docs, lambda texts: [model.score(t) for t in texts])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

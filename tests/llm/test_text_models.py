@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrel.llm import imatch, quality, toxicity, urls
 from spindrel.llm.common import fold
+from spindrel.llm.labels import training_texts
 
 DOCS = "doc_id long, text string, score string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -74,8 +76,6 @@ def test_risk_estimator_learns_from_unlabelled_rows():
 
 
 def test_fold_is_of_the_id_as_text(spark):
-    import zlib
-
     rows = spark.range(50).select("id", fold("id").alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
 
@@ -108,6 +108,141 @@ def test_contexts_against_plain_loops():
     assert np.array_equal(total.reshape(want.shape), want)
 
 
+def test_features_and_model_against_plain_counts(spark, corpus):
+    docs, labels = frames(spark, corpus)
+    model = toxicity.fit(docs, labels)
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in corpus[0] if i is not None}
+    toxic = {i: t for i, _, t in corpus[1] if i in folds and t is not None and folds[i]}
+    positive = {t for i, t, _ in corpus[0] if toxic.get(i) == 1}
+    unlabelled = {t for i, t, _ in corpus[0] if i in folds and folds[i]}
+    prior = sum(toxic.values()) / len(toxic)
+    assert model.prior == pytest.approx(prior)
+
+    def counted(texts):
+        n = Counter()
+        for t in texts:
+            stems = Counter(f for w in set(re.findall(r"[^\W_]+", (t or "").lower())) for f in toxicity.stems(w))
+            n.update(f + k for f, c in stems.items() for k in range(min(c, 3)))
+        return n
+
+    a, b, n_p, n_u = counted(positive), counted(unlabelled), len(positive), len(unlabelled)
+    chosen = set()
+    for f, count in a.items():
+        p, u = count / n_p, b[f] / n_u
+        rest = max((u - prior * p) / (1 - prior), 0.5 / n_u)
+        error = math.sqrt(p * (1 - p) / n_p + max(u, 1 / n_u) / n_u)
+        if count >= toxicity.LEAST_TEXTS and p >= toxicity.LEAST_LIFT * rest and p - rest >= toxicity.LEAST_Z * error:
+            chosen.add(f)
+    assert set(model.weights) == chosen and chosen
+    text = next(iter(positive))
+    stems = Counter(f for w in set(re.findall(r"[^\W_]+", text.lower())) for f in toxicity.stems(w))
+    z = model.bias + sum(model.weights.get(f + k, 0) for f, c in stems.items() for k in range(min(c, 3)))
+    assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_first_step_follows_the_numeric_gradient_of_the_risk():
+    rng = np.random.default_rng(5)
+    x, positive, prior = rng.normal(size=(60, 3)), np.arange(60) < 20, 0.3
+    loss = lambda z: 1 / (1 + np.exp(z))
+
+    def risk(v):
+        g = x @ v[:3] + v[3]
+        return prior * loss(g[positive]).mean() + max(0, loss(-g[~positive]).mean() - prior * loss(-g[positive]).mean())
+
+    w, b = toxicity.non_negative_pu(x, positive, prior, epochs=1, rate=0.01, l2=0)
+    step = np.r_[w, b]
+    slope = np.array([(risk(e) - risk(-e)) / 2e-6 for e in np.eye(4) * 1e-6])
+    assert np.array_equal(np.sign(step), -np.sign(slope)) and np.allclose(np.abs(step), 0.01, rtol=1e-3)  # Adam's first step
+
+
+def test_conflicting_labels_and_copies_have_one_meaning(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7}", 1) for i in range(40)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(i, v) for i in range(40) for v in (1, i % 2)], "doc_id long, toxic int")
+    got = {(r["doc_id"], r["text"], r["label"]) for r in training_texts(docs, labels, "toxic", 100).collect()}
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i in range(40)}
+    want = {}
+    for i in range(40):
+        if folds[i]:
+            want.setdefault((f"text {i % 7}", i % 2), i)
+    assert got == {(i, t, v) for (t, v), i in want.items()}
+
+
+def test_pooled_features_against_loops():
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(quality.SLOTS, quality.DIM)).astype(np.float32)
+    ids = np.array([5, 9, 9, 5, 7, 5, 5])
+    got = quality.pooled(vectors, ids)
+    each = vectors[ids].astype(float)
+    kinds = vectors[[5, 7, 9]].astype(float)
+    mean = each.mean(axis=0)
+    want = [*mean, *kinds.mean(axis=0), *np.sqrt(((each - mean) ** 2).mean(axis=0)), math.log(8), 3 / 7, 4 / 7, 2 / 6, 1 / 5, np.linalg.norm(mean)]
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-5)
+    assert not quality.pooled(vectors, ids[:0]).any()
+
+
+def test_network_follows_the_numeric_gradient():
+    rng = np.random.default_rng(6)
+    x, d = rng.normal(size=(50, 5)), 5
+    y = (x[:, 0] > 0).astype(float)
+    made = []
+    for epochs in (0, 1):
+        m = quality.Model(np.zeros(0), np.zeros(d), np.ones(d))
+        quality.train(m, x, y, epochs=epochs, batch=64, rate=1e-3, l2=0)
+        made.append(m)
+    before, after = made
+
+    def loss(layers):
+        m = quality.Model(np.zeros(0), np.zeros(d), np.ones(d), layers)
+        p = 1 / (1 + np.exp(-m.logits(x)))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for k, layer in enumerate(before.layers):
+        for at in list(np.ndindex(layer.shape))[:20]:
+            slopes = []
+            for e in (1e-6, -1e-6):
+                layers = [q.copy() for q in before.layers]
+                layers[k][at] += e
+                slopes.append(loss(layers))
+            slope = (slopes[0] - slopes[1]) / 2e-6
+            if abs(slope) > 1e-6:
+                assert np.sign(after.layers[k][at] - layer[at]) == -np.sign(slope)
+
+
+def test_quality_query_against_plain_loops(spark, corpus):
+    docs, labels = frames(spark, corpus)
+    model = quality.fit(docs, labels)
+    total = np.zeros(quality.SLOTS * quality.DIM)
+    for _, t, _ in corpus[0]:
+        ids = quality._slots.of(t)
+        if len(ids):
+            quality.add_contexts(total, ids, np.zeros(len(ids), int))
+    total = total.reshape(quality.SLOTS, quality.DIM)
+    total -= total.mean(axis=0) * (np.abs(total).sum(axis=1, keepdims=True) > 0)
+    assert model.vectors == pytest.approx(total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-300), abs=1e-5)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    w1, b1, w2, b2 = model.layers
+    for i, t, _ in corpus[0][:40]:
+        x = (quality.pooled(model.vectors, quality._slots.of(t)) - model.mean) / model.scale
+        z = sum(math.tanh(x @ w1[:, j] + b1[j]) * w2[j] for j in range(len(w2))) + b2[0]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z / model.temperature)))
+
+
+@pytest.mark.parametrize("kind", [toxicity, quality])
+def test_odd_names_and_very_long_texts(spark, corpus, kind):
+    docs, labels = frames(spark, corpus)
+    model = kind.fit(docs, labels)
+    odd = spark.createDataFrame([(1, "word " * 200_000, 2, 3), (1, None, 2, 3)], "doc_id long, text string, `a.b` int, `x y` int")
+    got = kind.score(odd, model)
+    assert got.columns == ["doc_id", "text", "a.b", "x y", "score"] and all(0 <= r["score"] <= 1 for r in got.collect())
+
+
+def test_sums_meet_in_bounded_groups(spark, corpus, monkeypatch):
+    docs = frames(spark, corpus)[0]
+    want = quality.word_vectors(docs)
+    monkeypatch.setattr(quality, "FAN_IN", 2)
+    assert quality.word_vectors(docs.repartition(9)) == pytest.approx(want, abs=1e-5)
+
+
 # URL filters
 
 
@@ -143,8 +278,6 @@ def test_rules_against_a_plain_version(spark):
 
 def plain_verdicts(rows):
     """Scores of the URLs without a rule, by loops: words of all pages, Viterbi, naive Bayes over places."""
-    import zlib
-
     import regex
 
     runs = lambda t: regex.findall(r"\p{L}+", t.lower())
