@@ -162,18 +162,16 @@ def needed_mass(router: Router, x: np.ndarray, asked: np.ndarray, k: int, recall
     return float(np.nextafter(found[min(len(found) - 1, int(np.ceil(recall * len(found))))], 2))
 
 
-def fit(rows: DataFrame, n: int, dim: int, k: int) -> Router:
-    """On at most about MOST_SAMPLE vectors; the number of partitions follows the number of rows."""
+def fitted(x: np.ndarray, n: int, k: int) -> Router:
+    """A router for n vectors, from a sample x of them; the number of partitions follows n."""
     parts = min(MOST_PARTITIONS, max(round(n / PARTITION_ROWS), min(8, n // 50), 1))
-    if parts == 1:
-        return Router(1, np.zeros(dim), 1.0)
-    t = rows.where(share(F.col("vec_id"), MOST_SAMPLE, n)).toArrow().sort_by("vec_id")
-    x = matrix(t.column("embedding"), dim)
-    sizes = np.abs(x).max(axis=1)
-    unit = float(np.median(sizes))
+    sizes = np.abs(x).max(axis=1, initial=0)
+    unit = float(np.median(sizes)) if len(x) else 1.0
     x = x[sizes < 1e6 * unit] / unit  # what is far larger than most would hide how the others differ
     asked = np.arange(len(x)) % HELD_OUT == 0
     own = x[~asked]
+    if parts == 1 or len(own) <= parts:
+        return Router(1, np.zeros(x.shape[1]), 1.0)
     graph = neighbour_graph(own, min(GRAPH_K, len(own) - 1))
     router = train_router(own, graph, balanced_partition(own, graph, parts), parts)
     router.mass = needed_mass(router, own, x[asked], k)
@@ -181,6 +179,12 @@ def fit(rows: DataFrame, n: int, dim: int, k: int) -> Router:
     return router
 
 
+def fit(rows: DataFrame, n: int, dim: int, k: int) -> Router:
+    """On at most about MOST_SAMPLE vectors."""
+    t = rows.where(share(F.col("vec_id"), MOST_SAMPLE, n)).toArrow().sort_by("vec_id")
+    return fitted(matrix(t.column("embedding"), dim), n, k)
+
+
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances of the rows of x from q, of very large and very small numbers too."""
     with np.errstate(over="ignore", invalid="ignore"):

@@ -57,6 +57,42 @@ def test_partitions_keep_recall(spark, monkeypatch):
     assert np.mean([len(found[q] & w) / 10 for q, w in want.items()]) >= 0.9
 
 
+def routed(x, every, k):
+    """Recall and the share of rows that are looked at, with the registered parameters."""
+    router = neighbours.fitted(x, len(x), k)
+    where = router.probabilities(x).argmax(axis=1)
+    asked = np.arange(0, len(x), every)
+    wanted = neighbours.mass_before(router.probabilities(x[asked])) < router.mass
+    d = ((x[asked][:, None, :] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(len(asked)), asked] = np.inf
+    near = np.argsort(d, axis=1)[:, :k]
+    return np.take_along_axis(wanted, where[near], axis=1).mean(), (wanted * np.bincount(where, minlength=router.parts)).sum(axis=1).mean() / len(x)
+
+
+def test_registered_parameters_reach_the_recall_and_skip_what_they_can():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 32)) * 2
+    recall, share = routed(centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 32)), 20, 10)
+    assert recall >= 0.9 and share < 0.4
+    recall, share = routed(rng.normal(size=(3000, 32)), 20, 10)  # without any structure most has to be looked at
+    assert recall >= 0.9 and share < 1
+
+
+def test_nothing_finite_is_left_out(spark):
+    rows = [(100, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.5, 1.0]), (3, [1e200, 1e200]), (4, [1e-200, 1e-200]), (200, [3.0]), (5, [1.0]), (100, [0.0, 2.0])]
+    kind = "vec_id long, embedding array<double>, score string"
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in neighbours.nearest(spark.createDataFrame([(*r, "x") for r in rows], kind)).collect()}
+    assert [got[100, i][0] for i in (1, 2, 3, 4)] == [1, 2, 4, 3]  # of two rows with the query's id the smaller one asks
+    assert got[100, 4][1] == pytest.approx(2**0.5 * 1e200) and got[200, 1] == (5, 2.0) and len(got) == 5
+
+
+def test_ties_across_blocks_go_to_the_smaller_id(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 20)
+    rows = [(i, [1.0, 1.0, float(i == 0)]) for i in range(300)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 11)]
+
+
 def test_parts_are_balanced_and_cut_few_edges():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(size=(200, 4)) + 12 * c for c in np.eye(4)])
