@@ -77,3 +77,75 @@ def test_mapping_rules():
         IndexMapping("x", ())
     assert MAPPING.default_field == "title"
     assert IndexMapping("x", (FieldMapping("k", T.KEYWORD),)).default_field == "k"
+
+
+def test_the_last_row_of_a_bulk_wins_and_late_batches_lose(spark, tmp_path):
+    engine = SearchEngine(spark, f"file://{tmp_path}")
+    engine.create_index(MAPPING)
+    kind = "doc_id string, title string, price long"
+    engine.bulk("shop", spark.createDataFrame([("1", "old words", 1), ("2", "two", 2), ("1", "new words", 3)], kind).coalesce(1))
+    engine.refresh("shop")
+    assert [h.fields["title"] for h in engine.search("shop", SearchRequest("words")).hits] == [["new words"]]
+    store, feed = engine.store("shop"), engine.feed("shop")
+    late = store.log().where("doc_id = '2'")
+    engine.delete("shop", spark.createDataFrame([("2",)], "doc_id string"))
+    engine.refresh("shop")
+    assert engine.count("shop", None) == 1
+    feed.publish(late, 99)  # an older version that comes late brings nothing back
+    assert engine.count("shop", None) == 1 and feed.batches == []
+
+
+def test_routing_is_kept_and_registered_analyzers_index(spark, tmp_path):
+    from spindrel.functions.analysis import Analyzer
+
+    mapping = IndexMapping("own", (FieldMapping("t", T.TEXT, "whole"),), shards=8)
+    engine = SearchEngine(spark, f"file://{tmp_path}")
+    engine.create_index(mapping)
+    engine.register_analyzer("whole", Analyzer(whole=True))
+    engine.bulk("own", spark.createDataFrame([(str(i), "Red Fox", "one") for i in range(6)], "doc_id string, t string, routing string"))
+    engine.refresh("own")
+    index = engine.index("own")
+    assert {r["shard_id"] for r in index.docs.collect()} == {r["shard_id"] for r in engine.store("own").log().collect()}
+    assert len({r["shard_id"] for r in index.docs.collect()}) == 1 and {r["term"] for r in index.terms.collect()} == {"Red Fox"}
+
+
+def test_segments_count_as_one_index(spark, tmp_path, monkeypatch):
+    import random
+
+    from spindrel.operators.search import matches
+    from spindrel.streaming import changes
+
+    monkeypatch.setattr(changes, "MOST_SEGMENTS", 3)
+    rng, engine, live = random.Random(3), SearchEngine(spark, f"file://{tmp_path}"), {}
+    engine.create_index(MAPPING)
+    for _ in range(5):
+        rows = {str(rng.randrange(30)): " ".join(rng.choices(["ash", "birch", "cedar"], k=rng.randint(1, 5))) for _ in range(12)}
+        live |= rows
+        engine.bulk("shop", spark.createDataFrame([(i, t, 1) for i, t in rows.items()], "doc_id string, title string, price long"))
+        gone = rng.sample(sorted(live), 3)
+        engine.delete("shop", spark.createDataFrame([(i,) for i in gone], "doc_id string"))
+        live = {i: t for i, t in live.items() if i not in gone}
+        engine.refresh("shop")
+        whole = build(spark.createDataFrame([(i, t, 1) for i, t in live.items()], "doc_id string, title string, price long"), MAPPING)
+        index = engine.index("shop")
+        get = lambda ix: {r["doc_id"]: round(r["score"], 9) for r in matches(ix, SearchRequest("ash cedar")).collect()}
+        assert get(index) == get(whole)
+        assert {(r["field"], r["term"], r["df"]) for r in index.terms.collect()} == {(r["field"], r["term"], r["df"]) for r in whole.terms.collect()}
+        names = ("field", "shard_id", "doc_count", "sum_len")
+        assert {tuple(r[n] for n in names) for r in index.stats.collect()} == {tuple(r[n] for n in names) for r in whole.stats.collect()}
+
+
+def test_an_index_of_another_kind_is_refused(spark, tmp_path):
+    uri = f"file://{tmp_path}/ix"
+    build(spark.createDataFrame([("1", "a", 1)], "doc_id string, title string, price long"), MAPPING).save(uri)
+    with pytest.raises(ValueError, match="mapping"):
+        Index.load(spark, uri, IndexMapping("shop", MAPPING.fields[:1], shards=2))
+    folder = Folder(spark, uri)
+    folder.commit(2, folder.manifest(1) | {"format": 1})
+    with pytest.raises(ValueError, match="format"):
+        Index.load(spark, uri, MAPPING)
+
+
+def test_numbers_are_taken_once(spark, tmp_path):
+    folder = Folder(spark, f"file://{tmp_path}/v")
+    assert [folder.take() for _ in range(12)] == list(range(1, 13)) and len(folder.versions()) <= 10
