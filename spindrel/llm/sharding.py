@@ -18,6 +18,7 @@ import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import open_fs
@@ -32,6 +33,12 @@ class Shard:
     bytes: int
 
 
+def whole(batch: pa.RecordBatch, kind: pa.Schema) -> pa.RecordBatch:
+    """The batch with all columns of kind; those it doesn't have are null."""
+    at = {n: i for i, n in enumerate(batch.schema.names)}
+    return pa.RecordBatch.from_arrays([batch.column(at[f.name]).cast(f.type) if f.name in at else pa.nulls(batch.num_rows, f.type) for f in kind], schema=kind)
+
+
 class CommitConflict(RuntimeError):
     """Another writer has committed the same version first."""
 
@@ -64,6 +71,16 @@ def plan_merges(shards: list[Shard], target: int, fanout: int = 4, smallest: int
     return [g for g in merges if len(g) > 1]
 
 
+def merged_schema(old: str | None, new: T.StructType) -> str:
+    """The columns of a store after rows of another schema have arrived: those that are new come last, all may be null. A
+    column whose type has changed is an error."""
+    fields = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(old)).fields} if old else {}
+    for f in new.fields:
+        if fields.setdefault(f.name, f.dataType) != f.dataType:
+            raise ValueError(f"column {f.name} is {fields[f.name].simpleString()} in the store, not {f.dataType.simpleString()}")
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()]).json()
+
+
 class ShardStore:
     """Writers append, compact and commit; readers see the newest version or one they name."""
 
@@ -107,13 +124,29 @@ class ShardStore:
             raise
         return new | {"shards": shards}
 
+    def _change(self, change) -> dict:
+        """Commits change(manifest) -> (shards, schema) or None; where another writer was first, once more on its version."""
+        for _ in range(20):
+            base = self.manifest()
+            found = change(base)
+            if found is None:
+                return base
+            try:
+                return self.commit(base, *found)
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"{self.uri} keeps changing")
+
     def append(self, df: DataFrame) -> dict:
-        """Adds df's rows as new small shards, of at most shard_rows rows each, and commits."""
-        base, folder = self.manifest(), f"{self.uri}/data/{uuid.uuid4().hex}"
+        """Adds df's rows as new small shards, of at most shard_rows rows each, and commits. What has been written stays good
+        if others commit meanwhile. Columns that the store doesn't have yet are null in what was there before."""
+        merged_schema(self.manifest()["schema"], df.schema)
+        folder = f"{self.uri}/data/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", self.shard_rows).parquet(folder)
         fs, place = open_fs(folder)
         paths = [f"{folder}/{f.base_name}" for f in fs.get_file_info(pa.fs.FileSelector(place)) if f.base_name.endswith(".parquet")]
-        return self.commit(base, base["shards"] + [s for s in self._described(paths) if s.rows], df.schema.json())
+        new = [s for s in self._described(paths) if s.rows]
+        return self._change(lambda base: (base["shards"] + new, merged_schema(base["schema"], df.schema)))
 
     def _described(self, paths: list[str]) -> list[Shard]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +168,8 @@ class ShardStore:
         return [Shard(r["path"], r["rows"], r["bytes"]) for r in out.mapInArrow(run, "path string, rows long, bytes long").collect()]
 
     def compact(self) -> dict:
-        """Merges until no tier has anything to merge, with a commit after each round; returns the newest manifest.
+        """Merges until no tier has anything to merge, with a commit after each round; returns the newest manifest. A round
+        whose shards another writer has merged first is given up; arrivals of others meanwhile don't matter.
 
         A task merges one group, streaming row groups from its shards to a new file whose name holds the task attempt.
         """
@@ -150,26 +184,26 @@ class ShardStore:
                         out = f"{folder}/{group:06d}-{TaskContext.get().taskAttemptId()}.parquet"
                         fs, place = open_fs(out)
                         fs.create_dir(place.rpartition("/")[0], recursive=True)
-                        writer, held, size, n = None, [], 0, 0
-                        for uri in paths:
-                            source, at = open_fs(uri)
-                            with source.open_input_file(at) as f:
-                                parquet = pq.ParquetFile(f)
-                                writer = writer or pq.ParquetWriter(place, parquet.schema_arrow, filesystem=fs, compression="snappy")
-                                for batch in parquet.iter_batches(1024):
-                                    held.append(batch)
+                        held, size, n = [], 0, 0
+                        opened = [(lambda x: x[0].open_input_file(x[1]))(open_fs(uri)) for uri in paths]
+                        kind = pa.unify_schemas([pq.read_schema(f) for f in opened])
+                        with pq.ParquetWriter(place, kind, filesystem=fs, compression="snappy") as writer:
+                            for f in opened:
+                                f.seek(0)
+                                for batch in pq.ParquetFile(f).iter_batches(1024):
+                                    held.append(whole(batch, kind))
                                     size, n = size + batch.nbytes, n + batch.num_rows
                                     if size >= block:
-                                        writer.write_table(pa.Table.from_batches(held).cast(writer.schema))
+                                        writer.write_table(pa.Table.from_batches(held))
                                         held, size = [], 0
-                        if held:
-                            writer.write_table(pa.Table.from_batches(held).cast(writer.schema))
-                        writer.close()
+                                f.close()
+                            if held:
+                                writer.write_table(pa.Table.from_batches(held))
                         yield pa.RecordBatch.from_arrays([pa.array([out]), pa.array([n]), pa.array([fs.get_file_info(place).size])], ["path", "rows", "bytes"])
 
             made = self._in_tasks([(i, [s.path for s in g]) for i, g in enumerate(merges)], "merge int, paths array<string>", run)
             gone = {s.path for g in merges for s in g}
-            now = self.commit(now, [s for s in now["shards"] if s.path not in gone] + made, now["schema"])
+            now = self._change(lambda base: ([s for s in base["shards"] if s.path not in gone] + made, base["schema"]) if gone <= {s.path for s in base["shards"]} else None)
         return now
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -192,12 +226,18 @@ class ShardStore:
         return gone
 
 
-def compacted(docs: DataFrame, uri: str, **sizes: int) -> DataFrame:
-    """docs, appended to a new store at uri as small shards, compacted, and read from the newest version.
+def compacted(docs: DataFrame, uri: str, arrivals: int = 4, **sizes: int) -> DataFrame:
+    """docs, appended to a new store at uri in several arrivals of small shards, compacted after each, what is no longer named
+    removed, and read from the newest version.
 
-    Columns, nulls and repeated rows stay as they are, whatever the columns' names; an empty table gives an empty one.
+    An arrival has the rows with one remainder of a hash of all their columns that can be hashed, so equal rows arrive
+    together. Columns, nulls, repeated rows and very long texts stay as they are, whatever the columns' names, nested ones
+    too; an empty table gives an empty one.
     """
     store = ShardStore(docs.sparkSession, uri, **sizes)
-    store.append(docs)
-    store.compact()
+    names = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.NumericType | T.StringType)]
+    for k in range(arrivals):
+        store.append(docs.where(F.pmod(F.xxhash64(*names), F.lit(arrivals)) == k) if names else docs.where(F.lit(k == 0)))
+        store.compact()
+        store.vacuum(keep=1)
     return store.read()

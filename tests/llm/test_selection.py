@@ -443,6 +443,27 @@ def test_store_appends_compacts_and_keeps_versions(spark, tmp_path):
     assert empty.count() == 0 and empty.columns == ["doc_id", "text", "path", "rows"]
 
 
+def test_writers_that_meet_keep_their_work_and_schemas_grow(spark, tmp_path):
+    store, other = (sharding.ShardStore(spark, f"file://{tmp_path}/s", target=60_000, smallest=8_000, shard_rows=10) for _ in range(2))
+    store.append(spark.createDataFrame([(i, "x" * 50) for i in range(60)], "id long, t string"))
+    plain = store.commit
+    met = []
+
+    def commit(base, shards, schema):
+        if not met:  # another writer is first, once
+            met.append(other.append(spark.createDataFrame([(100 + i, None, (1, "n")) for i in range(5)], "id long, t string, `a.b` struct<u int, v string>")))
+        return plain(base, shards, schema)
+
+    store.commit = commit
+    store.append(spark.createDataFrame([(200, "late")], "id long, t string"))
+    met.clear()
+    store.compact()
+    got = {r["id"]: (r["t"], r["a.b"]) for r in store.read().collect()}
+    assert set(got) == {*range(60), *range(100, 105), 200} and got[100] == (None, (1, "n")) and got[200] == ("late", None)
+    with pytest.raises(ValueError, match="column id"):
+        store.append(spark.createDataFrame([("x",)], "id string"))
+
+
 def test_merges_are_of_similar_sizes():
     shards = [sharding.Shard(f"s{i}", 1, 5) for i in range(3)] + [sharding.Shard(f"m{i}", 1, 40) for i in range(4)] + [sharding.Shard("l", 1, 190)]
     assert [sorted(s.path for s in g) for g in sharding.plan_merges(shards, 200, 4, 10)] == [["m0", "m1", "m2", "m3"]]
