@@ -167,13 +167,13 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each document's bucket of neighbouring ids, with the first document of the next bucket at its end.
 
-    Buckets are ranges of doc_id at approximate quantiles, four for each shuffle partition; the one document that a
-    bucket needs from the next is sent to both. Texts travel once, compressed. After the last id comes the first again.
+    Buckets are ranges of doc_id at approximate quantiles, as many as shuffle partitions, since a term travels once for each
+    bucket that has it; the one document that a bucket needs from the next is sent to both. Texts travel once, compressed. After the last id comes the first again.
     Rows: bucket, extra (0, or 1 for the one from the next bucket), doc_id, data (the compressed text).
     Besides, (bucket, hash): the texts of a bucket that an earlier bucket has as well.
     """
     spark = docs.sparkSession
-    n = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     bounds = np.array(sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))), float)
 
