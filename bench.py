@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 import spindrel.queries as Q
 
 HEADLINE = ("or_bm25", "and_bm25", "not_query", "phrase_exact", "phrase_slop", "fuzzy_1", "prefix", "wildcard", "numeric_range", "date_range", "match_all_sort", "search_after_page", "facet_terms", "facet_range", "acl_filter", "total_hits", "project_fields", "suggest_complete", "suggest_correct", "analyze_standard", "upsert_latest")
-WARM_RUNS = 3
+WARM_RUNS = 5
 
 
 def main() -> None:
