@@ -98,3 +98,13 @@ def test_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_odd_rows_and_empty_tables(spark, folder):
+    rows = [(None, "one", "en", "s0", 1), (None, "two", "en", None, 1), (90007, "same", None, "s0", None), (90007, "same", None, "s0", None), (90008, None, "en", "s1", 0), (90009, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage, kept in ((corpus_pipeline.keep_good, 6), (corpus_pipeline.drop_toxic, 6), (corpus_pipeline.one_of_each, 5), (corpus_pipeline.mix_sources, None)):
+        out = stage(spark, docs, folder)
+        assert out.columns == list(corpus_pipeline.COLUMNS) and kept in (None, out.count())
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert corpus_pipeline.pack_windows(spark, docs.limit(0), folder).count() == 0
