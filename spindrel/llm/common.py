@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: One Arrow batch holds at most so many rows, so that a run of very long texts stays small in a Python worker.
 BATCH_ROWS = 512
+#: Files that a table staged `together` has for each core at most.
+FILES_A_CORE = 4
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -48,10 +50,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder as Parquet and read again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, together: bool = False) -> DataFrame:
+    """df, written once to the shared folder as Parquet and read again: cuts lineage, survives lost executors.
+
+    Hadoop's local file system starts processes for each file (chmod), and until such a child runs its own program, it counts
+    with all memory of its executor. So where many partitions may hold little, `together` has a task write several.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism) if together else df).write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _folders[found] = path
     return found
@@ -66,6 +72,21 @@ def discard(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_remembered: list[dict] = []
+
+
+def only(memory: dict | None = None) -> dict | None:
+    """memory, in which this worker remembers words for one operator; what it remembered for others is forgotten.
+
+    Spark reuses workers, so each would come to hold the words of every operator that has run in the session.
+    """
+    if not (_remembered and _remembered[0] is memory):
+        for m in _remembered:
+            m.clear()
+        _remembered[:] = [] if memory is None else [memory]
+    return memory
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Any file system that pyarrow has a driver for, not only local paths."""
     return pafs.FileSystem.from_uri(uri)
@@ -92,6 +113,7 @@ def with_scores(docs: DataFrame, scores: Callable[[list[str | None]], list[float
     text = plain[names.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             got = pa.array(scores(b.column(text).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*plain, "score"])

@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     to its smallest one (itself included), then its smaller neighbours. The number of rounds grows with the logarithm of the
     longest chain. Links of a node to itself and repeated links don't matter; nulls are left out.
     """
-    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", together=True)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, old = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), edges
+        edges, old = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", together=True), edges
         discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, staged
+from .common import discard, mix64, only, staged
 from .components import components
 
 #: Tokens that get a rank by frequency (the others count as rare), and classes of equal sets told to all tasks; both bound what is sent.
@@ -66,7 +66,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(only(_words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     out = np.full(n, min(len(h), k), np.uint64)
     for i in range(min(k, len(h))):
@@ -415,12 +415,12 @@ class Join:
 
     def linked(self, found: DataFrame, known: DataFrame, order: Order) -> DataFrame:
         """Staged (a, b, u, v): the links among candidates."""
-        pairs = staged(self.near(found.select("a", "b", "l").distinct(), known), "pairs")
+        pairs = staged(self.near(found.select("a", "b", "l").distinct(), known), "pairs", together=True)
         if pairs.isEmpty():
             return pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))
-        needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(known.select("h", "id"), "h"), "needed")
-        sets = staged(self.sets(needed, order), "wanted")
-        links = staged(self.verified(pairs, sets), "links")
+        needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(known.select("h", "id"), "h"), "needed", together=True)
+        sets = staged(self.sets(needed, order), "wanted", together=True)
+        links = staged(self.verified(pairs, sets), "links", together=True)
         discard(needed, sets, pairs)
         return links
 
@@ -451,41 +451,41 @@ class Join:
         """roots (node, root) after more links (u, v): only the components that these connect are looked at."""
         of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("u", "v")]
         ends = links.join(of[0], "u", "left").join(of[1], "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-        moved = staged(components(ends), "moved")
+        moved = staged(components(ends), "moved", together=True)
         by_root = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
         known = roots.join(by_root, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        return staged(known.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
+        return staged(known.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots", together=True)
 
     def run(self) -> DataFrame:
         """Per document: doc_id, n_shingles, component_id."""
         both = staged(self.docs.mapInArrow(_sets_and_counts(self.k), "doc_id long, n int, sig binary, h long, short binary, sketch binary, token long, seen long"), "sets")
         mine = both.where(F.col("sig").isNotNull()).select("doc_id", "n", "sig")
         own = [F.first(c).alias(c) for c in ("n", "h", "short", "sketch")]
-        known = staged(both.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), *own), "classes")
+        known = staged(both.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), *own), "classes", together=True)
         top = both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
         order = Order(top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy())
         large = {bytes(r["sig"]): r["id"] for r in known.where("copies > 4").select("sig", "id", "copies").orderBy(F.desc("copies"), "sig").limit(LARGE_CLASSES).collect()}
         named = known.where("id is not null")
 
-        rows = staged(self.shared(self.prefixes(order, large)), "prefixes")
-        big = staged(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_ROWS), "big")
+        rows = staged(self.shared(self.prefixes(order, large)), "prefixes", together=True)
+        big = staged(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_ROWS), "big", together=True)
         block = F.lit(0) if big.isEmpty() else F.coalesce(F.pmod(F.xxhash64("h"), F.ceil(F.col("c") / BLOCK_ROWS)), F.lit(0)).cast("int")
         start = self.attached(rows, named) if big.isEmpty() else self.attached(rows, named).join(big, "key", "left")
-        found = staged(self.candidates(start.withColumn("block", block).withColumn("root", F.lit(0).cast("long")).withColumn("side", F.lit(3))), "candidates")
+        found = staged(self.candidates(start.withColumn("block", block).withColumn("root", F.lit(0).cast("long")).withColumn("side", F.lit(3))), "candidates", together=True)
         links = self.linked(found, named, order)
         failed = found.where("more").join(links.select("a", "b"), ["a", "b"], "left_anti").select("key")
-        keys = staged(failed.unionByName(big.select("key")).distinct(), "keys")
-        most, roots = ROOT_PAIRS, staged(components(links.select("u", "v")), "roots")
+        keys = staged(failed.unionByName(big.select("key")).distinct(), "keys", together=True)
+        most, roots = ROOT_PAIRS, staged(components(links.select("u", "v")), "roots", together=True)
         while not keys.isEmpty():
             discard(found)
-            found = staged(self.candidates(self.cells(rows, keys, named, roots), most), "candidates")
+            found = staged(self.candidates(self.cells(rows, keys, named, roots), most), "candidates", together=True)
             new = self.linked(found, named, order)
             if not new.isEmpty():
                 roots = self.merged(roots, new)
             placed = named.join(roots, named.id == roots.node, "left").select("h", F.coalesce("root", "id").alias("r"))
             of = [placed.select(F.col("h").alias(c), F.col("r").alias(f"r{c}")) for c in ("a", "b")]
             open_ = found.where("more").join(of[0], "a").join(of[1], "b").where("ra <> rb")
-            keys = staged(open_.select("key").distinct(), "keys")
+            keys = staged(open_.select("key").distinct(), "keys", together=True)
             most *= ROOT_PAIRS
         discard(rows, found)
         component = known.join(roots, known.id == roots.node, "left").select("sig", F.coalesce("root", "id").alias("component"))

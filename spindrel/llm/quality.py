@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, fold, mix64, sigmoid, with_scores
+from .common import Adam, fold, mix64, only, sigmoid, with_scores
 from .labels import training_texts
 
 #: Word slots (words share a slot by hash), vector length, non-zeros of an index vector, words to each side of a context.
@@ -82,6 +82,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         total, any_row = np.zeros(SLOTS * DIM), False
         for b in batches:
             texts = b.column("text").to_pylist()

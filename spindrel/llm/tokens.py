@@ -7,6 +7,8 @@ import os
 import re
 from array import array
 
+from .common import only
+
 #: Words remembered per worker, and the longest one remembered (bytes).
 MEMORY_WORDS, MEMORY_BYTES = 300_000, 64
 
@@ -72,7 +74,8 @@ class WordEncoder(dict):
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker and vocabulary file."""
+    """One per Python worker and vocabulary file, until the worker works for an operator that remembers other words."""
+    only(_encoders)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_selection import ids_of, plain_components
 
 import corpus_pipeline
-from spindrel.llm import mixing
+from spindrel.llm import components, jaccard, mixing, tokens
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +80,43 @@ def test_rows_are_told_apart_by_more_than_their_ids(spark, folder):
     assert {t for _, t in rows if t} == {r["text"] for r in mixed.collect() if r["text"]}
 
 
+def test_many_partitions_are_staged_in_few_files(spark, folder, monkeypatch):
+    """As on a table whose groups are dealt over many partitions that nothing puts together again."""
+    files, plain = {}, jaccard.staged
+
+    def counted(df, name, **how):
+        found = plain(df, name, **how)
+        files.setdefault(name, []).append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    monkeypatch.setattr(components, "staged", counted)
+    settings = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    want = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, documents(spark, folder), folder).collect())
+    files.clear()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, documents(spark, folder), folder).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want and {"classes", "prefixes", "candidates", "edges"} <= set(files)
+    assert max(n for each in files.values() for n in each) <= 4 * spark.sparkContext.defaultParallelism < 30
+
+
+def test_a_worker_remembers_words_for_one_operator():
+    jaccard.shingles("some words", 3)
+    assert jaccard._words
+    assert tokens.encoder(tokens.public_vocabulary()).encode_many(["some words"]) and tokens._encoders
+    assert not jaccard._words
+    same = tokens.encoder(tokens.public_vocabulary())
+    assert same is tokens.encoder(tokens.public_vocabulary()) and same
+    jaccard.shingles("some words", 3)
+    assert jaccard._words and not tokens._encoders
+
+
 def test_packing_holds_all_ids(spark, folder):
     docs = documents(spark, folder).where("doc_id < 100 or doc_id >= 5000")
     out = corpus_pipeline.pack_windows(spark, docs, folder).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
