@@ -90,10 +90,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     counts = ranked.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("words_before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    targets = staged(source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most), "mix-targets", together=True)
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    places = counts.alias("a").join(targets.alias("b"), same).select("a.source", "part", "before", "words_before", "source_size", "target").alias("b")
-    placed = ranked.alias("a").join(places, (F.col("a.part") == F.col("b.part")) & same)
+    places = counts.alias("a").join(targets.alias("b"), same).select("a.source", "part", "before", "words_before", "source_size", "target")
+    places = staged(places, "mix-places", together=True)  # a row for each source and partition; each tier's plan would make them anew
+    placed = ranked.alias("a").join(places.alias("b"), (F.col("a.part") == F.col("b.part")) & same)
     tier = sum(((F.col("words_before") + F.col("sum")) * 2**j >= F.col("source_size") * (2**j - 1)).cast("int") for j in range(1, TIERS))
     placed = placed.select("doc_id", *more, "a.source", "size", "source_size", "target", (F.col("before") + F.col("rank")).alias("i"), tier.alias("tier"))
 
