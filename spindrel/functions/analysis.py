@@ -105,10 +105,15 @@ class Analyzer:
             w = fold(w) if self.folding else w
             if self.stop and w in STOPWORDS:
                 continue
-            for w in (w, *self.synonyms.get(w, ())):
-                w = _stem(w) if self.stems else w
-                for x in [w[:n] for n in range(self.beginnings[0], min(self.beginnings[1], len(w)) + 1)] if self.beginnings else [w]:
-                    out.append(replace(t, term=x))
+            out.extend(replace(t, term=x) for x in self.ending(w))
+        return out
+
+    def ending(self, word: str) -> list[str]:
+        """The last filters, from synonyms on: the terms that a word becomes."""
+        out = []
+        for w in (word, *self.synonyms.get(word, ())):
+            w = _stem(w) if self.stems else w
+            out.extend([w[:n] for n in range(self.beginnings[0], min(self.beginnings[1], len(w)) + 1)] if self.beginnings else [w])
         return out
 
     def terms(self, text: str) -> list[str]:

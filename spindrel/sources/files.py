@@ -33,6 +33,10 @@ class Folder:
         finally:
             stream.close()
 
+    def size(self) -> int:
+        """Bytes of all files below."""
+        return self.fs.getContentSummary(self.path(self.uri)).getLength()
+
     def delete(self, name: str) -> None:
         """A file or folder below this one."""
         self.fs.delete(self.path(f"{self.uri}/{name}"), True)

@@ -25,10 +25,12 @@ from pyspark.sql import types as T
 from ..functions.analysis import Registry
 from ..functions.hashing import shard_of
 from ..mapping import FieldMapping, FieldType, IndexMapping, number_form, number_text, term_form, to_dict, typed
+from . import blocks
+from .blocks import GAP
 from .files import Folder
 
-#: Positions between the values of a text field with several.
-GAP = 100
+#: A task puts about so many bytes of Parquet in order; there are as many tasks as that takes.
+PIECE = 6 << 20
 #: The version of what is written.
 FORMAT = 2
 CHANGED = "doc_id string, version long, seq long, deleted boolean"
@@ -51,7 +53,7 @@ class Index:
     terms: DataFrame
     stats: DataFrame
     docs: DataFrame
-    #: Where the postings have been written already, in their order.
+    #: Where postings and docs have been written already, in their order.
     home: str | None = None
     #: Statistics that queries have looked up; an index never changes.
     memo: dict = field(default_factory=dict, repr=False)
@@ -64,10 +66,11 @@ class Index:
         """Writes this index's documents as a segment; returns its paths."""
         if not self.home:
             placed(self.postings).write.parquet(f"{data}/postings")
-        self.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{data}/docs")
+            self.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{data}/docs")
         rows = self.docs.select("doc_id", F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"), F.lit(False).alias("deleted")) if changed is None else changed
         rows.write.parquet(f"{data}/changed")
-        return {"postings": self.home or f"{data}/postings", "docs": f"{data}/docs", "changed": f"{data}/changed"}
+        home = self.home or data
+        return {"postings": f"{home}/postings", "docs": f"{home}/docs", "changed": f"{data}/changed", "analysis": analysis(self.mapping, self.analyzers)}
 
     @staticmethod
     def _commit(folder: Folder, mapping: IndexMapping, data: str, terms: DataFrame, stats: DataFrame, segments: list[dict], token: str) -> int:
@@ -92,11 +95,26 @@ class Index:
         old = Index.load(self.spark, uri, self.mapping, m["generation"], self.analyzers)
         segment = self._segment(data, changed)
         ids = self.spark.read.schema(CHANGED).parquet(segment["changed"]).select("doc_id")
-        gone, gone_docs = old.postings.join(ids, "doc_id", "left_semi"), old.docs.select("doc_id", "shard_id").join(ids, "doc_id", "left_semi")
+        gone_terms, gone_stats = old._share(ids, [s.get("analysis") for s in m["segments"]], f"{data}/gone")
         less = lambda df, *names: df.select(*(c for c in df.columns if c not in names), *((-F.col(c)).alias(c) for c in names))
-        terms = sums([old.terms, self.terms, less(dictionary(gone), "df")], ["field", "term"], ["df"], "df")
-        stats = sums([old.stats, self.stats, less(statistics(gone, gone_docs), "doc_count", "sum_len")], ["field", "shard_id"], ["doc_count", "sum_len"], "doc_count")
-        return self._commit(folder, self.mapping, data, terms, stats, [*m["segments"], segment], token)
+        terms = sums([old.terms, self.terms, less(gone_terms, "df")], ["field", "term"], ["df"], "df")
+        stats = sums([old.stats, self.stats, less(gone_stats, "doc_count", "sum_len")], ["field", "shard_id"], ["doc_count", "sum_len"], "doc_count")
+        generation = self._commit(folder, self.mapping, data, terms, stats, [*m["segments"], segment], token)
+        Folder(self.spark, data).delete("gone")
+        return generation
+
+    def _share(self, ids: DataFrame, analyses: list[str | None], path: str) -> tuple[DataFrame, DataFrame]:
+        """What documents add to the dictionary and the statistics. Their texts, if stored, are analysed again, which moves less
+        than to look for their ids in all postings; but only by the analysis that they were indexed by."""
+        gone = self.docs.join(ids, "doc_id", "left_semi")
+        mapped = [f for f in self.mapping.fields if f.name in self.docs.columns]
+        if any(not f.stored for f in self.mapping.fields) or set(analyses) != {analysis(self.mapping, self.analyzers)}:
+            postings = self.postings.join(ids, "doc_id", "left_semi")
+            return dictionary(postings), statistics(postings, gone)
+        blocks.shares(gone.select("doc_id", "shard_id", *(f.name for f in mapped)), mapped, self.analyzers).write.parquet(path)
+        made = self.spark.read.parquet(path)
+        stats = made.where("term is null").groupBy("field", "shard_id").agg(F.sum("doc_count").alias("doc_count"), F.sum("sum_len").alias("sum_len"))
+        return made.where("term is not null").groupBy("field", "term").agg(F.sum("df").alias("df")), stats.unionByName(everything(gone))
 
     @staticmethod
     def known(spark: SparkSession, uri: str) -> tuple[DataFrame, int]:
@@ -138,6 +156,28 @@ class Index:
         return self
 
 
+def analysis(mapping: IndexMapping, analyzers: Registry) -> str:
+    """How an index's fields are analysed."""
+    return repr([(f.name, analyzers[f.index_analyzer()]) for f in mapping.fields])
+
+
+def pieces(spark: SparkSession, size: int) -> int:
+    """Into how many partitions so many bytes are dealt: none grows with the input, and few bytes take few tasks."""
+    return max(1, min(spark.sparkContext.defaultParallelism, size >> 20), -(-size // PIECE))
+
+
+def planned_size(df: DataFrame) -> int | None:
+    """Bytes that a frame reads, as far as its plan knows."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 50 else None
+
+
+def in_ranges(docs: DataFrame, size: int | None = None) -> DataFrame:
+    """Documents in ranges of their ids, in about equal pieces."""
+    size = planned_size(docs) if size is None else size
+    return docs.repartitionByRange("doc_id") if size is None else docs.repartitionByRange(pieces(docs.sparkSession, size), "doc_id")
+
+
 def placed(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
 
@@ -149,8 +189,12 @@ def dictionary(postings: DataFrame) -> DataFrame:
 def statistics(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """Of each term of a document's field the length is known; the first position's or, without positions, any one counts."""
     lengths = postings.select("field", "shard_id", "doc_id", "len").distinct().groupBy("field", "shard_id").agg(F.count("*").alias("doc_count"), F.sum("len").alias("sum_len"))
-    everything = docs.groupBy("shard_id").agg(F.count("*").alias("doc_count")).select(F.lit(None).cast("string").alias("field"), "shard_id", "doc_count", F.lit(0).cast("long").alias("sum_len"))
-    return lengths.unionByName(everything)
+    return lengths.unionByName(everything(docs))
+
+
+def everything(docs: DataFrame) -> DataFrame:
+    """The rows of the statistics that count all documents."""
+    return docs.groupBy("shard_id").agg(F.count("*").alias("doc_count")).select(F.lit(None).cast("string").alias("field"), "shard_id", "doc_count", F.lit(0).cast("long").alias("sum_len"))
 
 
 def _is_array(df: DataFrame, name: str) -> bool:
@@ -186,36 +230,22 @@ def value_tokens(docs: DataFrame, f: FieldMapping) -> DataFrame:
     return found.select("doc_id", "shard_id", F.size("ts").alias("len"), F.posexplode("ts").alias("pos", "term")).select("doc_id", "shard_id", "len", "term", "pos")
 
 
-def build(docs: DataFrame, mapping: IndexMapping, analyzers: Registry | None = None, path: str | None = None, routed: bool = False) -> Index:
+def build(docs: DataFrame, mapping: IndexMapping, analyzers: Registry | None = None, path: str | None = None, routed: bool = False, ranged: bool = False) -> Index:
     """Index tables of docs: doc_id, the mapped fields (values or arrays), and perhaps acl (array of groups) and routing, or
-    shard_id if they are routed already.
+    shard_id if they are routed already (then their ids are distinct); they may lie in ranges of their ids already.
 
-    Documents are dealt by id before they are analysed, so that their tokens are summed up where they are made. With a path,
-    the postings are written there, first as they come and then in their order, so texts are analysed once; the rest is
-    derived from what was written.
+    With a path, documents and postings are written there: first documents in ranges of their ids, then from these the blocks
+    of their postings, so texts are analysed once, then the postings in their order; the rest is derived from what was written.
+    Without one, or where ids repeat, documents are dealt by id before they are analysed, so that their tokens are summed up
+    where they are made.
     """
     analyzers = analyzers or Registry(mapping.synonyms)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     docs = docs if "acl" in docs.columns else docs.withColumn("acl", F.array().cast("array<string>"))
     key = F.coalesce("routing", "doc_id") if "routing" in docs.columns else F.col("doc_id")
-    docs = (docs if routed else docs.withColumn("shard_id", shard_of(key, mapping.shards))).repartition("doc_id")
+    docs = docs if routed else docs.withColumn("shard_id", shard_of(key, mapping.shards))
     mapped = [f for f in mapping.fields if f.name in docs.columns]
 
-    def field_postings(f: FieldMapping) -> DataFrame:
-        tokens = text_tokens(docs, f, analyzers) if f.type is FieldType.TEXT else value_tokens(docs, f)
-        positions = F.sort_array(F.collect_list("pos")) if f.positions else F.lit(None).cast("array<int>")
-        return tokens.groupBy("doc_id", "shard_id", "len", "term").agg(F.count("*").cast("int").alias("tf"), positions.alias("positions")).select(F.lit(f.name).alias("field"), "term", "doc_id", "shard_id", "tf", "len", "positions")
-
-    postings = reduce(DataFrame.unionByName, map(field_postings, mapped))
-    home = f"{path}/postings" if path else None
-    if home:
-        spark, raw = docs.sparkSession, f"{path}/raw"
-        postings.write.parquet(raw)
-        placed(spark.read.parquet(raw)).write.parquet(home)
-        postings = spark.read.parquet(home)
-        Folder(spark, path).delete("raw")
-    stats = statistics(postings, docs.select("doc_id", "shard_id"))
-
     columns = ["doc_id", "shard_id", "acl"]
     for f in mapped:
         kind, many = _kind(docs, f.name), _is_array(docs, f.name)
@@ -226,8 +256,43 @@ def build(docs: DataFrame, mapping: IndexMapping, analyzers: Registry | None = N
             columns.append(number_form(f, typed(f, F.get(values, F.lit(0)), kind)).alias(f"{f.name}__num"))
         elif f.doc_values:
             columns.append(values.cast("array<string>").alias(f"{f.name}__kw"))
+
+    if not path:
+        docs = docs.repartition("doc_id")
+        postings = _plain(docs, mapped, analyzers)
+        return Index(mapping, analyzers, postings, dictionary(postings), statistics(postings, docs), docs.select(*columns))
+
+    spark, raw, home = docs.sparkSession, f"{path}/raw", f"{path}/postings"
     table = docs.select(*columns)
-    return Index(mapping, analyzers, postings, dictionary(postings), stats, table, home)
+    (table if ranged else in_ranges(table)).sortWithinPartitions("doc_id").write.parquet(f"{path}/docs")
+    table = spark.read.parquet(f"{path}/docs")
+    read = table if all(f.stored for f in mapped) else docs
+    again = not routed and not table.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if again:
+        _plain(read.repartition("doc_id"), mapped, analyzers).write.parquet(raw)
+        placed(spark.read.parquet(raw)).write.parquet(home)
+    else:
+        n, mapped = pieces(spark, Folder(spark, f"{path}/docs").size()), sorted(mapped, key=lambda f: f.name)
+        bounds = blocks.sampled_bounds(read, mapped, analyzers, n)
+        blocks.packed(read, mapped, analyzers, bounds).write.parquet(raw)
+        made = spark.read.parquet(raw)
+        blocks.rows(made, mapped, len(bounds) + 1).write.parquet(home)
+    postings = spark.read.parquet(home)
+    stats = statistics(postings, table) if again else blocks.measured(made).unionByName(everything(table))
+    stats.coalesce(1).write.parquet(f"{path}/stats")  # a row for each field and shard
+    Folder(spark, path).delete("raw")
+    return Index(mapping, analyzers, postings, dictionary(postings), spark.read.parquet(f"{path}/stats"), table, path)
+
+
+def _plain(docs: DataFrame, fields: list[FieldMapping], analyzers: Registry) -> DataFrame:
+    """Postings of documents that are dealt by id."""
+
+    def field_postings(f: FieldMapping) -> DataFrame:
+        tokens = text_tokens(docs, f, analyzers) if f.type is FieldType.TEXT else value_tokens(docs, f)
+        positions = F.sort_array(F.collect_list("pos")) if f.positions else F.lit(None).cast("array<int>")
+        return tokens.groupBy("doc_id", "shard_id", "len", "term").agg(F.count("*").cast("int").alias("tf"), positions.alias("positions")).select(F.lit(f.name).alias("field"), "term", "doc_id", "shard_id", "tf", "len", "positions")
+
+    return reduce(DataFrame.unionByName, map(field_postings, fields))
 
 
 __all__ = ["Index", "build", "number_text"]
