@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.analysis import Registry
 from ..sources.files import Folder
-from ..sources.index import Index, build
+from ..sources.index import Index, build, in_ranges
 from ..sources.store import DocumentStore, newest
 
 #: An index of so many segments is built anew as one.
@@ -28,8 +30,9 @@ class ChangeFeed:
         self.store, self.index_uri, self.checkpoint, self.files_per_batch, self.analyzers = store, index_uri, checkpoint, files_per_batch, analyzers
         self.batches: list[int] = []
 
-    def _built(self, rows: DataFrame) -> Index:
-        return build(rows.where("not deleted").drop("deleted", "version", "seq"), self.store.mapping, self.analyzers, routed=True)
+    def _built(self, rows: DataFrame, ranged: bool = False) -> Index:
+        path = f"{self.index_uri}/data/{uuid.uuid4().hex}"
+        return build(rows.where("not deleted").drop("deleted", "version", "seq"), self.store.mapping, self.analyzers, path, routed=True, ranged=ranged)
 
     def publish(self, batch: DataFrame | None = None, number: int = 0) -> None:
         """A batch of the log, or without one the whole log."""
@@ -37,8 +40,8 @@ class ChangeFeed:
         if batch is None or not Folder(self.store.spark, self.index_uri).versions():
             if batch is not None and batch.isEmpty():
                 return
-            rows = newest(self.store.log())
-            self._built(rows).save(self.index_uri, str(number), rows.select(*changed))
+            rows = newest(in_ranges(self.store.log()))  # each document's versions are in one range of ids, and the newest stay there
+            self._built(rows, ranged=True).save(self.index_uri, str(number), rows.select(*changed))
         else:
             known, segments = Index.known(self.store.spark, self.index_uri)
             seen = known.select("doc_id", F.struct("version", "seq").alias("seen"))
