@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.analysis import Analyzer, Registry
 from .mapping import IndexMapping
-from .operators.search import SearchRequest, SearchResponse, count, search
+from .operators.search import SearchRequest, SearchResponse, count, paged, scroll, search
 from .operators.suggest import Suggestion, suggest
 from .plans.ast import Query
 from .sources.catalog import Catalog
@@ -95,10 +94,12 @@ class SearchEngine:
         return count(self.index(name), query, principals)
 
     def scroll(self, name: str, request: SearchRequest, principals: list[str] | None = None) -> Iterator[SearchResponse]:
-        """Page after page, until an empty one."""
-        while (found := self.search(name, request, principals)).hits:
-            yield found
-            request = replace(request, start=0, search_after=found.hits[-1].sort_values)
+        """Page after page that has hits, all of the generation that is the newest when it starts."""
+        return scroll(self.index(name), request, principals)
+
+    def pages(self, name: str, request: SearchRequest, principals: list[str] | None = None) -> DataFrame:
+        """What scroll() gives, as one frame: doc_id, score, shard_id, stored fields, the order's values, place and page."""
+        return paged(self.index(name), request, principals)
 
     def suggest(self, name: str, field: str, text: str, size: int = 5, correct: bool = True, principals: list[str] | None = None) -> list[Suggestion]:
         return suggest(self.index(name), field, text, size, correct, principals)

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.ast import Boolean, Clause, MatchAll, Occur, Query
 from ..plans.compiler import Compiler
 from ..plans.parser import Parser
+from ..sources.files import Folder
 from ..sources.index import Index
+from ..sources.scratch import scratch
 from . import facets as facet_operators
 from .facets import Facet
 from .highlight import Highlight, matchers, passages
 
 #: Offset pages reach so far; beyond, pages follow each other by search_after.
 DEEPEST = 1000
+#: A scroll reads so many hits at a time, or a page.
+MOST_READ = 5000
 
 
 @dataclass(frozen=True)
@@ -145,16 +150,75 @@ def page(index: Index, found: DataFrame, request: SearchRequest) -> DataFrame:
     return rows.orderBy(*ordering(request.order)).offset(request.start).limit(request.size)
 
 
+def shown(index: Index, request: SearchRequest) -> list[str]:
+    """Fields that a page reads of its documents."""
+    stored = [f.name for f in index.mapping.fields if f.stored and f.name in index.docs.columns and (request.fields is None or f.name in request.fields)]
+    return stored + [f for f in (request.highlight.fields if request.highlight else ()) if f in index.docs.columns and f not in stored]
+
+
 def fetched(index: Index, rows: DataFrame, request: SearchRequest) -> DataFrame:
     """A page's rows with stored fields. The page's ids are known first, so that the scan of the documents, which lie in
     ranges of their ids, skips all row groups without one of them."""
     found = rows.collect()  # a page
     index.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(DEEPEST))
     rows = index.spark.createDataFrame(found, rows.schema)
-    stored = [f.name for f in index.mapping.fields if f.stored and f.name in index.docs.columns and (request.fields is None or f.name in request.fields)]
-    wanted = [f for f in (request.highlight.fields if request.highlight else ()) if f in index.docs.columns and f not in stored]
     docs = index.docs.where(F.col("doc_id").isin([r["doc_id"] for r in found]))
-    return docs.select("doc_id", "shard_id", *stored, *wanted).join(F.broadcast(rows), "doc_id").orderBy(*ordering(request.order))
+    return docs.select("doc_id", "shard_id", *shown(index, request)).join(F.broadcast(rows), "doc_id").orderBy(*ordering(request.order))
+
+
+def paged(index: Index, request: SearchRequest, principals: list[str] | None = None) -> DataFrame:
+    """All pages that follow each other by search_after, from the request's first on: doc_id, score, s0, ..., shard_id and stored
+    fields, with `place` in the order (from 0) and `page`. The matches are found and put in order once for all pages."""
+    rows = keyed(index, matches(index, request, principals), request.order)
+    if request.search_after is not None:
+        rows = rows.where(after(request.order, request.search_after))
+    uri = scratch(index.spark, "pages")
+    rows.orderBy(*ordering(request.order)).withColumn("_at", F.monotonically_increasing_id()).write.parquet(uri)
+    rows, before, sums = index.spark.read.parquet(uri), 0, []
+    part, rank = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each sorted partition
+        sums.append((r["part"], before - request.start))
+        before += r["count"]
+    sums = index.spark.createDataFrame(sums, "_part long, _before long")
+    rows = rows.withColumn("_part", part).join(F.broadcast(sums), "_part").withColumn("place", F.col("_before") + rank).where("place >= 0")
+    rows = rows.withColumn("page", F.floor(F.col("place") / request.size).cast("int")).drop("_at", "_part", "_before")
+    return index.docs.select("doc_id", "shard_id", *shown(index, request)).join(rows, "doc_id")
+
+
+def scroll(index: Index, request: SearchRequest, principals: list[str] | None = None) -> Iterator[SearchResponse]:
+    """The pages of paged() that have hits, with the totals and facets of all matches."""
+    if not request.size:
+        return
+    whole, uri = search(index, replace(request, start=0, size=0, highlight=None), principals), scratch(index.spark, "scroll")
+    try:
+        paged(index, request, principals).repartitionByRange("place").sortWithinPartitions("place").write.parquet(uri)
+        rows, at = index.spark.read.parquet(uri), 0
+        some = max(1, MOST_READ // request.size)
+        while found := rows.where(F.col("page").between(at, at + some - 1)).orderBy("place").collect():  # at most MOST_READ or a page
+            for n in range(0, len(found), request.size):
+                yield replace(whole, hits=hits(index, request, found[n : n + request.size]))
+            at += some
+    finally:
+        Folder(index.spark, uri).delete("")
+
+
+def hits(index: Index, request: SearchRequest, rows: list[Row]) -> list[Hit]:
+    """Hits of fetched rows, with highlights."""
+    stored = [f.name for f in index.mapping.fields if request.fields is None or f.name in request.fields]
+    out = []
+    for r in rows:
+        d = r.asDict()
+        keys = tuple(d[f"s{i}"] for i in range(len(request.order))) + (d["doc_id"],)
+        hit = Hit(d["doc_id"], d["score"], d["shard_id"], {n: d[n] for n in stored if n in d}, keys)
+        if request.highlight:
+            main = parse(index, request.query)
+            for name in request.highlight.fields:
+                if isinstance(d.get(name), str) and (ms := matchers(main, name)):
+                    analyzer = index.analyzers[index.mapping.by_name[name].index_analyzer()]
+                    if got := passages(d[name], ms, analyzer, request.highlight):
+                        hit.highlights[name] = got
+        out.append(hit)
+    return out
 
 
 def search(index: Index, request: SearchRequest, principals: list[str] | None = None) -> SearchResponse:
@@ -163,27 +227,13 @@ def search(index: Index, request: SearchRequest, principals: list[str] | None =
     found = matches(index, request, principals).persist()
     try:
         sums = found.agg(F.count("*").alias("n"), F.max("score").alias("top")).first()
-        rows = fetched(index, page(index, found, request), request).collect() if request.size else []
-        stored = [f.name for f in index.mapping.fields if request.fields is None or f.name in request.fields]
-        hits = []
-        for r in rows:
-            d = r.asDict()
-            keys = tuple(d[f"s{i}"] for i in range(len(request.order))) + (d["doc_id"],)
-            hit = Hit(d["doc_id"], d["score"], d["shard_id"], {n: d[n] for n in stored if n in d}, keys)
-            if request.highlight:
-                main = parse(index, request.query)
-                for name in request.highlight.fields:
-                    if isinstance(d.get(name), str) and (ms := matchers(main, name)):
-                        analyzer = index.analyzers[index.mapping.by_name[name].index_analyzer()]
-                        if got := passages(d[name], ms, analyzer, request.highlight):
-                            hit.highlights[name] = got
-            hits.append(hit)
+        found_rows = fetched(index, page(index, found, request), request).collect() if request.size else []
         named = {}
         for f in request.facets:
             docs = index.docs if isinstance(query, MatchAll) and principals is None else index.docs.join(found.select("doc_id"), "doc_id", "left_semi")
             rows = facet_operators.ranges(docs, f) if f.ranges else facet_operators.terms(docs, index.mapping, f)
             named[f.name] = [r.asDict() for r in rows.collect()]
-        return SearchResponse(hits, sums["n"], sums["top"] or 0.0, named)
+        return SearchResponse(hits(index, request, found_rows), sums["n"], sums["top"] or 0.0, named)
     finally:
         found.unpersist()
 

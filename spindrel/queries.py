@@ -202,10 +202,9 @@ def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scroll_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All matches, page after page; a page's last row is the next one's cursor."""
-    pages = engine(spark, sf_dir).scroll("shop", SearchRequest("renewed", size=500, sort=(Sort("lang", True),), fields=("lang",)))
-    rows = [(h.doc_id, h.fields["lang"][0], number) for number, p in enumerate(pages) for h in p.hits]
-    return spark.createDataFrame(rows, "doc_id string, lang string, page int")
+    """All matches, page after page."""
+    request = SearchRequest("renewed", size=500, sort=(Sort("lang", True),), fields=("lang",))
+    return engine(spark, sf_dir).pages("shop", request).select("doc_id", F.get("lang", F.lit(0)).alias("lang"), "page")
 
 
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

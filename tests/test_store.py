@@ -149,3 +149,25 @@ def test_an_index_of_another_kind_is_refused(spark, tmp_path):
 def test_numbers_are_taken_once(spark, tmp_path):
     folder = Folder(spark, f"file://{tmp_path}/v")
     assert [folder.take() for _ in range(12)] == list(range(1, 13)) and len(folder.versions()) <= 10
+
+
+def test_scroll_finds_its_matches_once(spark, tmp_path, monkeypatch):
+    from spindrel.operators import search as operators
+
+    engine = SearchEngine(spark, f"file://{tmp_path}")
+    engine.create_index(MAPPING)
+    engine.bulk("shop", spark.createDataFrame([(f"doc-{i:02d}", "widget", i % 3 or None) for i in range(20)], "doc_id string, title string, price long"))
+    engine.refresh("shop")
+    request, runs = SearchRequest("widget", size=3, sort=(Sort("price", True),), start=2, fields=("price",)), []
+    found = operators.matches
+    monkeypatch.setattr(operators, "matches", lambda *a: runs.append(1) or found(*a))
+    monkeypatch.setattr(operators, "MOST_READ", 6)
+    pages = list(engine.scroll("shop", request))
+    assert len(runs) == 2  # for totals and for the order, whatever the number of pages
+    order = sorted(range(20), key=lambda i: (-(i % 3 or 9), f"doc-{i:02d}"))[2:]
+    assert [[h.doc_id for h in p.hits] for p in pages] == [[f"doc-{i:02d}" for i in order[n : n + 3]] for n in range(0, 18, 3)]
+    assert {p.total for p in pages} == {20} and pages[0].hits[-1].sort_values == (None, f"doc-{order[2]:02d}")
+    rest = list(engine.scroll("shop", SearchRequest("widget", size=3, sort=request.sort, search_after=pages[0].hits[-1].sort_values)))
+    assert [h.doc_id for p in rest for h in p.hits] == [f"doc-{i:02d}" for i in order[3:]]
+    framed = {(r["doc_id"], r["page"]) for r in engine.pages("shop", request).collect()}
+    assert framed == {(h.doc_id, n) for n, p in enumerate(pages) for h in p.hits}
